@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let the executors' Python import this package: once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parent
+        path = f"{tempfile.mkdtemp(prefix='meshwork-')}/meshwork.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -47,7 +64,7 @@ def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     Cuts the lineage: later failures re-read files, not the whole history.
     Column pruning and statistics keep working because it is plain Parquet.
     """
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
