@@ -12,6 +12,7 @@ CHUNK_BYTES = 4_000_000
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _byte = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _byte[0x41:0x5B] = _byte[0x61:0x7B]  # A-Z count as a-z
+letter_codes = _byte
 _blank = np.zeros(256, bool)
 _blank[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)

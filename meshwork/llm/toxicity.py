@@ -1,9 +1,10 @@
 """Toxicity by a linear-chain conditional random field.
 
-Two states, clean and toxic, over the words of a text. Labelled tokens come
-from the labelled documents: in a toxic document the words that mark toxic
-documents significantly are toxic tokens, every other token is clean. The field
-is fitted on a bounded sample of labelled documents. Forward-backward gives
+Two states, clean and toxic, over the words of a text. A token's features are
+its word and the beginnings of the word, which hold for inflected forms that
+the labels do not show. Labelled tokens come from the labelled documents: in a
+toxic document the words with a feature that marks toxic documents
+significantly are toxic tokens, every other token is clean. The field is fitted on a bounded sample of labelled documents. Forward-backward gives
 every token's marginal; a document's score is a calibrated function of the
 marginals, and runs of likely toxic tokens are its offending spans.
 
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.shingles import slices, text_bytes, word_spans
+from meshwork.llm.shingles import letter_codes, mixed, slices, text_bytes, word_spans
 from meshwork.runtime import ship
 
-#: Labelled documents that are used for fitting, at most, and the words that the field knows.
-FIT_DOCS, VOCABULARY = 4000, 20_000
+#: Labelled documents that are used for fitting, at most, and the features that the field knows.
+FIT_DOCS, VOCABULARY = 2500, 30_000
+#: Bytes of the beginnings of words that are features.
+BEGINNINGS = (4, 5, 6, 7)
 #: Rounds of fitting, and the strength of the penalty on word weights.
-ROUNDS, PENALTY = 40, 1e-4
+ROUNDS, PENALTY = 30, 1e-4
 #: From this marginal on, a token belongs to an offending span.
 SPAN_FROM = 0.5
 
@@ -40,19 +43,37 @@ _between[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x8
 class Field:
     """Weights of the field and of the calibration."""
 
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))  # the last is that of unknown words
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of known features
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2))  # the last two: of every token, and nothing
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))  # log potentials, from row to column
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
     calibration: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0]))
 
 
-def word_index(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place of each hash among the sorted known words; their number for unknown ones."""
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at, len(words))
+def token_features(data: np.ndarray, bounds: np.ndarray):
+    """Hashes (features, tokens), first token of each text, first byte and length of each token; 0 where a word is too short."""
+    hashes, first, at, sizes = word_spans(data, bounds, _between)
+    rows = [hashes]
+    for n in BEGINNINGS:
+        part = np.zeros(len(hashes), np.uint64)
+        long = np.flatnonzero(sizes >= n)
+        sums = np.full(len(long), n, np.uint64)
+        for j in range(n):
+            sums = mixed(sums + letter_codes[data[at[long] + j]])
+        part[long] = sums
+        rows.append(part)
+    return np.stack(rows), first, at, sizes
+
+
+def feature_index(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the features of each token among the known ones, and of what every token has; one past for unknown ones."""
+    places = np.full((len(hashes) + 1, hashes.shape[1]), len(words) + 1, np.int32)
+    places[-1] = len(words)
+    if len(words):
+        for row, place in zip(hashes, places):
+            at = np.minimum(np.searchsorted(words, row), len(words) - 1)
+            place[:] = np.where(words[at] == row, at, len(words) + 1)
+    return places
 
 
 def _carried(first: np.ndarray, products: np.ndarray) -> np.ndarray:
@@ -116,12 +137,13 @@ def marginals(emission: np.ndarray, starts: np.ndarray, moves: np.ndarray, start
 
 def toxic_marginals(model: Field, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Marginal of the toxic state at each token."""
-    if not len(hashes):
+    n = hashes.shape[1]
+    if not n:
         return np.zeros(0)
-    starts = np.zeros(len(hashes), bool)
+    starts = np.zeros(n, bool)
     begin = first[:-1]
-    starts[begin[begin < len(hashes)]] = True
-    emission = model.weights[word_index(model.words, hashes)]
+    starts[begin[begin < n]] = True
+    emission = model.weights[feature_index(model.words, hashes)].sum(axis=0)
     f, b = marginals(emission, starts, model.moves, model.start)
     both = f * b
     return both[:, 1] / both.sum(axis=1)
@@ -160,60 +182,86 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
 
 
 def token_labels(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(known words, toxic-token flags) of labelled documents.
+    """(known features, toxic-token flags) of labelled documents.
 
-    A word marks toxic documents when the lower end of the interval (z = 2.58)
-    for the share of toxic documents among those that hold it is over one half.
+    A feature marks toxic documents when the lower end of the interval
+    (z = 2.58) for the share of toxic documents among those that hold it is
+    over one half; texts with the same least three-word window, as near copies
+    have, count as one document. Known features are those, then the most
+    frequent.
     """
-    doc = np.repeat(np.arange(len(toxic)), np.diff(first))
-    order = np.lexsort((doc, hashes))
-    h, d = hashes[order], doc[order]
-    once = np.ones(len(h), bool)
-    once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    words, of, n = np.unique(h[once], return_inverse=True, return_counts=True)
-    k = np.bincount(of, weights=toxic[d[once]], minlength=len(words))
+    own = np.repeat(np.arange(len(toxic)), np.diff(first))
+    least = np.arange(len(toxic)).astype(np.uint64)
+    words = hashes[0]
+    if len(words) > 2:
+        three = mixed(words[:-2] + mixed(words[1:-1] + mixed(words[2:])))
+        three[own[:-2] != own[2:]] = np.uint64(2**64 - 1)
+        long = np.flatnonzero(np.diff(first) > 2)
+        stops = np.stack([first[long], first[long + 1] - 2], 1).ravel()
+        least[long] = np.minimum.reduceat(np.append(three, np.uint64(2**64 - 1)), stops)[::2]
+    _, group = np.unique(least, return_inverse=True)
+    share_toxic = np.bincount(group, weights=toxic) / np.bincount(group)
+    doc = group[own]
+    flags = np.zeros(len(doc), bool)
+    kinds = []
     z2 = 2.58**2
-    share = k / n
-    lower = (share + z2 / (2 * n) - np.sqrt(z2 * (share * (1 - share) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
-    marks = lower > 0.5
+    for row in hashes:
+        order = np.lexsort((doc, row))
+        h, d = row[order], doc[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        once &= h != 0
+        if not once.any():
+            continue
+        words, of, n = np.unique(h[once], return_inverse=True, return_counts=True)
+        k = np.bincount(of, weights=share_toxic[d[once]], minlength=len(words))
+        share = k / n
+        lower = (share + z2 / (2 * n) - np.sqrt(z2 * (share * (1 - share) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+        marks = lower > 0.5
+        kinds.append((words, n, marks))
+        at = np.minimum(np.searchsorted(words, row), len(words) - 1)
+        flags |= marks[at] & (words[at] == row)
+    words, n, marks = (np.concatenate(x) for x in zip(*kinds))
     rank = np.lexsort((words, -n, ~marks))[:VOCABULARY]
-    known = np.sort(words[rank[(n[rank] > 1) | marks[rank]]])
-    at = np.searchsorted(words, hashes)
-    return known, marks[at] & (toxic[doc] == 1)
+    return np.unique(words[rank[(n[rank] > 1) | marks[rank]]]), flags & (toxic[own] == 1)
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Field:
     """The field and its calibration, from labelled whole texts."""
     y = np.array(toxic, dtype=np.float64)
     model = Field()
-    hashes, first, _, _ = word_spans(*text_bytes(pa.array(texts, pa.large_string())), _between)
-    if not len(hashes) or y.min(initial=1) == y.max(initial=0):
+    hashes, first, _, _ = token_features(*text_bytes(pa.array(texts, pa.large_string())))
+    n = hashes.shape[1]
+    if not n or y.min(initial=1) == y.max(initial=0):
         rate = (y.sum() + 0.5) / (len(y) + 1)
         model.calibration = np.array([np.log(rate / (1 - rate)), 0.0, 0.0])
         return model
     model.words, labels = token_labels(hashes, first, y)
     z = labels.astype(np.int64)
-    index = word_index(model.words, hashes)
-    starts = np.zeros(len(hashes), bool)
+    index = feature_index(model.words, hashes)
+    starts = np.zeros(n, bool)
     begin = first[:-1]
-    starts[begin[begin < len(hashes)]] = True
+    starts[begin[begin < n]] = True
     inside = np.flatnonzero(~starts)
-    seen_words = np.bincount(index, weights=z, minlength=len(model.words) + 1)
+    size = len(model.words) + 2
+    total = lambda x: sum(np.bincount(row, weights=x, minlength=size) for row in index)
+    seen_words = total(z)
     seen_moves = np.bincount(2 * z[inside - 1] + z[inside], minlength=4).reshape(2, 2)
     seen_start = np.bincount(z[starts], minlength=2)
-    theta = np.zeros(len(model.words) + 1 + 6)
-    size = len(model.words) + 1
+    theta = np.zeros(size + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):
         weights, moves, start = theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :]
-        f, b = marginals(weights[index], starts, moves, start)
+        emission = weights[index].sum(axis=0)
+        f, b = marginals(emission, starts, moves, start)
         both = f * b
         p = both[:, 1] / both.sum(axis=1)
-        odds = np.exp(np.clip(weights[index[inside]], -30, 30))
+        odds = np.exp(np.clip(emission[inside], -30, 30))
         pair = np.stack([f[inside - 1, i] * np.exp(moves[i, j]) * (odds if j else 1.0) * b[inside, j] for i in range(2) for j in range(2)])
         pair /= pair.sum(axis=0)
-        gradient = np.concatenate([seen_words - np.bincount(index, weights=p, minlength=size), (seen_moves.ravel() - pair.sum(axis=1)), seen_start - np.array([(1 - p[starts]).sum(), p[starts].sum()])])
+        gradient = np.concatenate([seen_words - total(p), (seen_moves.ravel() - pair.sum(axis=1)), seen_start - np.array([(1 - p[starts]).sum(), p[starts].sum()])])
         gradient = gradient / len(y) - PENALTY * theta
+        gradient[size - 1] = 0.0  # unknown features weigh nothing
         m, v = 0.8 * m + 0.2 * gradient, 0.95 * v + 0.05 * gradient**2
         theta = theta + 0.35 * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-9)
     model.weights, model.moves, model.start = theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :]
@@ -227,7 +275,7 @@ def _score(model: Field, batches):
         for start, rows in slices(batch.column("text")):
             texts = batch.column("text").slice(start, rows)
             data, bounds = text_bytes(texts)
-            hashes, first, at, sizes = word_spans(data, bounds, _between)
+            hashes, first, at, sizes = token_features(data, bounds)
             p = toxic_marginals(model, hashes, first)
             score = _sigmoid(document_features(p, first) @ model.calibration)
             spans: list[list | None] = [[] for _ in range(rows)]
