@@ -2,10 +2,569 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshwork.functions import codec
+from meshwork.graph import Graph, symmetrize
+from meshwork.operators import analytics, deltas, distribution, frontier, layout, sampling, topology, traversal
+from meshwork.plans import properties
+from meshwork.runtime import ship
+from meshwork.sources import derive, workload
+
+_graphs: dict[tuple, Graph] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str, name: str) -> Graph:
+    """A derived graph, written once a session and folder: loading is not part of an algorithm."""
+    ship(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _graphs:
+        _graphs[key] = getattr(derive, name)(spark, sf_dir).materialised()
+    return _graphs[key]
+
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def _edges_sql(pairs: str) -> str:
+    return f"""p AS MATERIALIZED (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ({pairs}) WHERE a <> b),
+e AS MATERIALIZED (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p)"""
+
+
+SP = _edges_sql(f"SELECT l_suppkey AS a, l_partkey + {derive.SHIFT} AS b FROM lineitem") + ", v AS MATERIALIZED (SELECT DISTINCT src AS id FROM e)"
+CO = _edges_sql(f"SELECT o_custkey AS a, o_orderkey + {derive.SHIFT} AS b FROM orders") + ", v AS MATERIALIZED (SELECT DISTINCT src AS id FROM e)"
+OP = (
+    _edges_sql(f"SELECT l_orderkey AS a, l_partkey + {1000 * derive.SHIFT} AS b FROM lineitem WHERE l_quantity >= 50")
+    + f", v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT p_partkey + {1000 * derive.SHIFT} FROM part)"
+)
+CN = (
+    _edges_sql(f"SELECT c_custkey AS a, c_nationkey::BIGINT + {derive.SHIFT} AS b FROM customer")
+    + f", v AS MATERIALIZED (SELECT c_custkey AS id, c_nationkey::BIGINT AS community FROM customer UNION SELECT c_nationkey + {derive.SHIFT}, c_nationkey::BIGINT FROM customer)"
+)
+DELTAS = """d AS MATERIALIZED (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'INSERT' END AS op, user_id AS src, event_id % 97 + 1000 AS dst,
+  event_id // 100 + 1 AS commit_ts FROM events),
+b AS MATERIALIZED (SELECT DISTINCT user_id AS src, event_id % 89 + 1000 AS dst, 0::BIGINT AS commit_ts FROM events WHERE event_id % 3 = 0)"""
+
+
+def _merged_sql(log: str = "d") -> str:
+    return f"""l AS MATERIALIZED (SELECT src, dst, arg_max(op, seq) AS op, arg_max(commit_ts, seq) AS commit_ts FROM {log} GROUP BY src, dst),
+m AS MATERIALIZED (SELECT src, dst, commit_ts FROM b WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.src = b.src AND l.dst = b.dst)
+  UNION ALL SELECT src, dst, commit_ts FROM l WHERE op = 'INSERT')"""
+
+
+# sources
+
+
+@query(f"WITH {SP} SELECT src, dst FROM e")
+def load_graph(spark, sf_dir):
+    return derive.supplier_part(spark, sf_dir).edges
+
+
+@query(f"WITH r AS (SELECT l_suppkey AS a, l_partkey + {derive.SHIFT} AS b FROM lineitem) SELECT a AS src, b AS dst FROM r UNION ALL SELECT b, a FROM r")
+def load_graph_nodedup(spark, sf_dir):
+    li = derive.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + derive.SHIFT).alias("dst"))
+    return li.union(li.select("dst", "src"))
+
+
+@query("SELECT event_id AS seq, user_id AS src, event_id % 97 + 1000 AS dst FROM events")
+def edge_list_load(spark, sf_dir):
+    return derive.event_list(spark, sf_dir)
+
+
+@query("SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT user_id FROM events UNION SELECT event_id % 97 + 1000 FROM events)) AS vertices, max(greatest(user_id, event_id % 97 + 1000)) AS max_id FROM events")
+def edge_list_statistics(spark, sf_dir):
+    from meshwork.sources.text import EdgeList
+
+    lst = EdgeList(spark, "events")
+    lst.edges = derive.event_list(spark, sf_dir)
+    return lst.statistics()
+
+
+@query("WITH r AS (SELECT user_id AS a, event_id % 97 + 1000 AS b FROM events WHERE user_id <> event_id % 97 + 1000) SELECT DISTINCT a AS src, b AS dst FROM (SELECT a, b FROM r UNION ALL SELECT b, a FROM r)", name="symmetrize")
+def symmetrize_query(spark, sf_dir):
+    return symmetrize(derive.event_list(spark, sf_dir))
+
+
+# scans
+
+
+@query(f"WITH {SP} SELECT sum(src + 2 * dst)::BIGINT AS total FROM e")
+def edge_scan_sum(spark, sf_dir):
+    return topology.edge_scan(graph(spark, sf_dir, "supplier_part"), F.col("src") + 2 * F.col("dst"))
+
+
+@query(f"WITH {SP} SELECT sum(dst)::BIGINT AS total FROM e WHERE src < 50")
+def edge_scan_active(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return topology.edge_scan(g, F.col("dst"), g.vertices.where("id < 50").select("id"))
+
+
+@query(f"WITH {SP} SELECT dst AS id, min(src) AS value FROM e WHERE src < 50 AND dst % 2 = 0 GROUP BY dst")
+def edge_map(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    active = frontier.VertexSubset(g.vertices.where("id < 50"))
+    return frontier.edge_map(g, active, F.min("message"), state=g.vertices, cond=F.col("id") % 2 == 0)
+
+
+@query(f"WITH {SP} SELECT id, id < 50 AS active FROM v")
+def frontier_to_dense(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return frontier.VertexSubset(g.vertices.where("id < 50")).to_dense(g)
+
+
+@query(f"WITH {SP} SELECT id, CASE WHEN id < 50 THEN id * 2 ELSE 0 END AS x FROM v")
+def vertex_map(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return frontier.vertex_map(frontier.VertexSubset(g.vertices.where("id < 50")), g.vertices.select("id", F.lit(0).cast("long").alias("x")), F.col("id") * 2, "x")
+
+
+@query("SELECT event_id, user_id, (coalesce(sum(user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS prefix, (sum(user_id) OVER ())::BIGINT AS total FROM events")
+def prefix_scan(spark, sf_dir):
+    return frontier.prefix_scan(derive.read(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", "user_id")
+
+
+# reads
+
+
+@query(f"WITH {SP} SELECT dst FROM e WHERE src = 7")
+def neighbors(spark, sf_dir):
+    return topology.neighbors(graph(spark, sf_dir, "supplier_part"), 7)
+
+
+@query(f"WITH {OP} SELECT v.id, count(e.dst) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id")
+def degree(spark, sf_dir):
+    return topology.degree(graph(spark, sf_dir, "order_part"))
+
+
+@query(f"WITH {OP} SELECT count(*) AS vertices FROM v")
+def vertex_count(spark, sf_dir):
+    return graph(spark, sf_dir, "order_part").vertices.agg(F.count(F.lit(1)).alias("vertices"))
+
+
+@query(f"WITH {OP} SELECT count(*) AS edges FROM e")
+def edge_count(spark, sf_dir):
+    return graph(spark, sf_dir, "order_part").edges.agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query(f"WITH {OP} SELECT v.id, coalesce(string_agg(e.dst::VARCHAR, ',' ORDER BY e.dst), '') AS neighbors FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id")
+def adjacency(spark, sf_dir):
+    return topology.adjacency(graph(spark, sf_dir, "order_part")).select("id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
+@query(f"WITH {SP} SELECT src AS id, count(*) AS degree FROM e GROUP BY src HAVING count(*) >= 128")
+def giant_vertices(spark, sf_dir):
+    return topology.giant_vertices(graph(spark, sf_dir, "supplier_part"))
+
+
+@query(f"WITH {CN} SELECT id FROM v WHERE community = 3")
+def community_members(spark, sf_dir):
+    return topology.community_members(graph(spark, sf_dir, "customer_nation"), 3)
+
+
+@query(f"WITH {CN} SELECT community, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM v GROUP BY community")
+def communities(spark, sf_dir):
+    return topology.communities(graph(spark, sf_dir, "customer_nation")).select("community", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+# subgraphs
+
+
+@query(f"WITH {SP} SELECT src, dst FROM e WHERE (src < 60 OR src % 5 = 0) AND (dst < 60 OR dst % 5 = 0)")
+def induced_subgraph(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return topology.induced_subgraph(g, g.vertices.where("id < 60 OR id % 5 = 0").select("id"), check=False).edges
+
+
+@query(f"WITH {SP}, s AS (SELECT id FROM v WHERE id < 20) SELECT s.id, coalesce(string_agg(e.dst::VARCHAR, ',' ORDER BY e.dst), '') AS neighbors FROM s LEFT JOIN e ON e.src = s.id GROUP BY s.id")
+def induced_subgraph_map(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return topology.induced_map(g, g.vertices.where("id < 20").select("id")).select("id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
+@query(f"WITH {CN} SELECT a.community, e.src, e.dst FROM e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst WHERE a.community = b.community")
+def community_subgraph(spark, sf_dir):
+    return topology.within_communities(graph(spark, sf_dir, "customer_nation"))
+
+
+@query(f"WITH {SP} SELECT DISTINCT src % 16 AS src_block, dst % 16 AS dst_block FROM e WHERE src % 16 <> dst % 16")
+def block_adjacency(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return topology.block_adjacency(g.edges, g.vertices.select("id", (F.col("id") % 16).alias("block")))
+
+
+@query()
+def block_tree(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return topology.block_tree(g, g.vertices.select("id", (F.col("id") % 64).alias("block")))
+
+
+# search
+
+
+@query(f"WITH RECURSIVE {SP}, t(v, l) USING KEY (v) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, min(t.l) + 1 FROM t JOIN e ON e.src = t.v LEFT JOIN recurring.t r ON r.v = e.dst WHERE r.v IS NULL GROUP BY e.dst) SELECT v AS id, l AS level FROM t")
+def bfs_levels(spark, sf_dir):
+    return traversal.bfs_levels(graph(spark, sf_dir, "supplier_part"), 0)
+
+
+@query(f"WITH RECURSIVE {SP}, t(v, l) USING KEY (v) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, min(t.l) + 1 FROM t JOIN e ON e.src = t.v LEFT JOIN recurring.t r ON r.v = e.dst WHERE r.v IS NULL GROUP BY e.dst) SELECT l AS level, count(*) AS vertices FROM t GROUP BY l")
+def bfs_level_sizes(spark, sf_dir):
+    return traversal.level_sizes(traversal.bfs_levels(graph(spark, sf_dir, "supplier_part"), 0))
+
+
+@query()
+def bfs_sequential(spark, sf_dir):
+    return traversal.bfs_visit_order(graph(spark, sf_dir, "supplier_part"), 0)
+
+
+@query(f"WITH {SP} SELECT id, CASE WHEN id = 0 THEN 0 ELSE 1 END::BIGINT AS level FROM v WHERE id = 0 OR (id % 16 = 0 AND id IN (SELECT dst FROM e WHERE src = 0))")
+def bfs_block(spark, sf_dir):
+    """One hop within the block: in a bipartite block all of the start's neighbours are one level away."""
+    g = graph(spark, sf_dir, "supplier_part")
+    return traversal.bfs_in_block(g, g.vertices.select("id", (F.col("id") % 16).alias("block")), 0).where("level <= 1")
+
+
+# components, ranks, communities
+
+_WCC = "w(v, c) USING KEY (v) AS (SELECT id, id FROM v UNION SELECT e.dst, min(w.c) FROM w JOIN e ON e.src = w.v JOIN recurring.w r ON r.v = e.dst GROUP BY e.dst, r.c HAVING min(w.c) < r.c)"
+
+
+@query(f"WITH RECURSIVE {OP}, {_WCC} SELECT v AS id, c AS label FROM w")
+def wcc(spark, sf_dir):
+    return analytics.wcc(graph(spark, sf_dir, "order_part"))
+
+
+@query(f"WITH RECURSIVE {OP}, {_WCC} SELECT v AS id, dense_rank() OVER (ORDER BY c) - 1 AS label FROM w")
+def wcc_sequential(spark, sf_dir):
+    return analytics.wcc_ordinal(graph(spark, sf_dir, "order_part"))
+
+
+@query(f"WITH RECURSIVE {CO}, {_WCC} SELECT c AS label, count(*) AS size FROM w GROUP BY c")
+def component_sizes(spark, sf_dir):
+    return analytics.component_sizes(analytics.wcc(graph(spark, sf_dir, "customer_order")))
+
+
+_SCAN = """s(i, id, c) AS (SELECT 0, id, id FROM v UNION ALL SELECT q.i + 1, q.id, least(q.c, coalesce(t.c, q.c)) FROM s q
+  LEFT JOIN (SELECT e.dst, min(x.c) AS c FROM s x JOIN e ON e.src = x.id GROUP BY e.dst) t ON t.dst = q.id WHERE q.i < 3)"""
+
+
+@query(f"WITH RECURSIVE {OP}, {_SCAN} SELECT id, c AS label FROM s WHERE i = 3")
+def cdlp_scan(spark, sf_dir):
+    return analytics.wcc_scan(graph(spark, sf_dir, "order_part"), 3)
+
+
+def _pagerank_sql(lost: str) -> str:
+    return f"""WITH RECURSIVE {OP}, n AS (SELECT count(*)::DOUBLE AS n FROM v), dg AS (SELECT v.id, count(e.dst) AS d FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id),
+r(i, id, r) AS (SELECT 0, id, 1 / (SELECT n FROM n) FROM v UNION ALL
+  SELECT q.i + 1, q.id, 0.15 / (SELECT n FROM n) + 0.85 * coalesce(s.s, 0) + 0.85 * q.lost / (SELECT n FROM n)
+  FROM (SELECT r.i, r.id, {lost} AS lost FROM r JOIN dg USING (id) WHERE r.i < 5) q
+  LEFT JOIN (SELECT e.dst, sum(r.r / dg.d) AS s FROM r JOIN dg USING (id) JOIN e ON e.src = r.id GROUP BY e.dst) s ON s.dst = q.id)
+SELECT id, round(r, 9) AS rank FROM r WHERE i = 5"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(_pagerank_sql("0.0::DOUBLE"))
+def pagerank_map(spark, sf_dir):
+    return _rounded(analytics.pagerank_map(graph(spark, sf_dir, "order_part"), 5, epsilon=None))
+
+
+@query(_pagerank_sql("sum(CASE WHEN dg.d = 0 THEN r.r ELSE 0 END) OVER ()"))
+def pagerank(spark, sf_dir):
+    return _rounded(analytics.pagerank(graph(spark, sf_dir, "order_part"), 5, epsilon=None))
+
+
+@query(f"""WITH RECURSIVE {OP}, dg AS (SELECT v.id, count(e.dst) AS d FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id),
+r(i, id, r) AS (SELECT 0, id, CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END FROM dg UNION ALL
+  SELECT q.i + 1, q.id, CASE WHEN q.i = 4 THEN 0.15 + 0.85 * coalesce(s.s, 0) WHEN q.d > 0 THEN (0.15 + 0.85 * coalesce(s.s, 0)) / q.d ELSE q.r END
+  FROM (SELECT r.i, r.id, r.r, dg.d FROM r JOIN dg USING (id) WHERE r.i < 5) q
+  LEFT JOIN (SELECT e.dst, sum(r.r) AS s FROM r JOIN e ON e.src = r.id GROUP BY e.dst) s ON s.dst = q.id)
+SELECT id, round(r, 7) AS rank FROM r WHERE i = 5""")
+def pagerank_scan(spark, sf_dir):
+    return analytics.pagerank_scan(graph(spark, sf_dir, "order_part"), 5).select("id", F.round("rank", 7).alias("rank"))
+
+
+_CDLP = """lp(i, id, l) AS (SELECT 0, id, id FROM v UNION ALL SELECT lp.i + 1, lp.id, coalesce(t.l, lp.l) FROM lp
+  LEFT JOIN (SELECT e.dst, q.l, row_number() OVER (PARTITION BY e.dst ORDER BY count(*) DESC, q.l) AS rn FROM lp q JOIN e ON e.src = q.id GROUP BY e.dst, q.l) t
+  ON t.dst = lp.id AND t.rn = 1 WHERE lp.i < 5)"""
+
+
+@query(f"WITH RECURSIVE {OP}, {_CDLP} SELECT id, l AS label FROM lp WHERE i = 5")
+def cdlp(spark, sf_dir):
+    return analytics.cdlp(graph(spark, sf_dir, "order_part"), 5)
+
+
+@query(f"WITH RECURSIVE {SP}, {_CDLP} SELECT id, l AS label FROM lp WHERE i = 5")
+def cdlp_voting(spark, sf_dir):
+    return analytics.cdlp(graph(spark, sf_dir, "supplier_part"), 5)
+
+
+@query("SELECT user_id, label FROM (SELECT user_id, event_id % 7 AS label, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_id % 7) AS rn FROM events GROUP BY user_id, event_id % 7) WHERE rn = 1")
+def most_frequent_label(spark, sf_dir):
+    votes = derive.read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 7).alias("label"))
+    return analytics.most_frequent(votes, "user_id", "label")
+
+
+# statistics and distributions
+
+_DEGREES = "g AS (SELECT v.id, count(e.dst) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id)"
+
+
+@query(f"WITH {OP}, {_DEGREES} SELECT count(*) AS vertices, sum(degree)::BIGINT AS edges, round(avg(degree), 9) AS avg_degree, min(degree) AS min_degree, max(degree) AS max_degree FROM g")
+def graph_statistics(spark, sf_dir):
+    return topology.graph_statistics(graph(spark, sf_dir, "order_part")).withColumn("avg_degree", F.round("avg_degree", 9))
+
+
+@query(f"WITH {CN}, c AS (SELECT community, count(*) AS size FROM v GROUP BY community) SELECT count(*) AS communities, round(avg(size), 9) AS avg_size, min(size) AS min_size, max(size) AS max_size FROM c")
+def community_statistics(spark, sf_dir):
+    return topology.community_statistics(graph(spark, sf_dir, "customer_nation")).withColumn("avg_size", F.round("avg_size", 9))
+
+
+@query(f"WITH {CN}, c AS (SELECT community, count(*) AS size FROM v GROUP BY community) SELECT size, count(*) AS communities FROM c GROUP BY size")
+def community_size_histogram(spark, sf_dir):
+    return topology.community_size_histogram(graph(spark, sf_dir, "customer_nation"))
+
+
+def _dist_sql(edges: str, step: int, name: str) -> str:
+    return f"""{name} AS (SELECT degree // {step} * {step} AS range_start, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM {edges}) AS percentage FROM {edges} GROUP BY 1)"""
+
+
+@query(f"WITH {OP}, {_DEGREES}, {_dist_sql('g', 2, 'x')} SELECT range_start, round(percentage, 9) AS percentage FROM x")
+def degree_distribution(spark, sf_dir):
+    return distribution.degree_distribution(graph(spark, sf_dir, "order_part"), 2).withColumn("percentage", F.round("percentage", 9))
+
+
+@query(f"WITH {OP}, {_DEGREES}, {_dist_sql('g', 2, 'x')}, k AS (SELECT * FROM x WHERE range_start > 0) SELECT range_start, round(percentage / sum(percentage) OVER () * 100, 9) AS percentage FROM k")
+def normalize_distribution(spark, sf_dir):
+    d = distribution.degree_distribution(graph(spark, sf_dir, "order_part"), 2).where("range_start > 0")
+    return distribution.normalize(d).withColumn("percentage", F.round("percentage", 9))
+
+
+_RESAMPLE = """c AS (SELECT range_start AS a, range_start + 10 AS b, percentage, unnest(range(range_start // 4, (range_start + 9) // 4 + 1)) * 4 AS t FROM x),
+z AS (SELECT t AS range_start, sum(percentage * (least(b, t + 4) - greatest(a, t)) / 10.0::DOUBLE) AS percentage FROM c GROUP BY t HAVING sum(percentage * (least(b, t + 4) - greatest(a, t))) > 0)"""
+
+
+@query(f"WITH {SP}, {_DEGREES}, {_dist_sql('g', 10, 'x')}, {_RESAMPLE} SELECT range_start, round(percentage, 9) AS percentage FROM z")
+def resample_distribution(spark, sf_dir):
+    d = distribution.degree_distribution(graph(spark, sf_dir, "supplier_part"), 10)
+    return distribution.resample(d, 10, 4).withColumn("percentage", F.round("percentage", 9))
+
+
+def _kl_sql(direction: str) -> str:
+    return f"""WITH {OP}, {_DEGREES}, {_dist_sql('g', 1, 'x')},
+ep AS MATERIALIZED (SELECT DISTINCT o_custkey AS a, o_orderkey + {derive.SHIFT} AS b FROM orders), ee AS (SELECT a AS src FROM ep UNION ALL SELECT b FROM ep),
+h AS (SELECT src AS id, count(*) AS degree FROM ee GROUP BY src), {_dist_sql('h', 1, 'y')},
+u AS (SELECT coalesce(x.percentage / 100, 1e-10) AS p, coalesce(y.percentage / 100, 1e-10) AS q FROM x FULL JOIN y USING (range_start))
+SELECT round({direction}, 9) AS kl FROM u"""
+
+
+def _two(spark, sf_dir):
+    return [distribution.degree_distribution(graph(spark, sf_dir, g), 1) for g in ("order_part", "customer_order")]
+
+
+@query(_kl_sql("sum(p * ln(p / q))"))
+def kl_divergence(spark, sf_dir):
+    return distribution.kl_table(*_two(spark, sf_dir), 1, 1).select(F.round("kl", 9).alias("kl"))
+
+
+@query(_kl_sql("(sum(p * ln(p / q)) + sum(q * ln(q / p))) / 2"))
+def symmetric_kl_divergence(spark, sf_dir):
+    p, q = _two(spark, sf_dir)
+    both = distribution.kl_table(p, q, 1, 1).union(distribution.kl_table(q, p, 1, 1))
+    return both.agg(F.round(F.sum("kl") / 2, 9).alias("kl"))
+
+
+@query(f"WITH {SP}, g AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src), o AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) - 1 AS pos FROM g) SELECT round(avg(abs(a.pos - b.pos)), 6) AS locality FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst WHERE e.src < e.dst")
+def locality_score(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return topology.locality_score(g, layout.degree_order(g)).select(F.round("locality", 6).alias("locality"))
+
+
+# orders, partitions, samples
+
+
+@query(f"WITH {SP}, g AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src) SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) - 1 AS pos FROM g")
+def degree_order(spark, sf_dir):
+    return layout.degree_order(graph(spark, sf_dir, "supplier_part"))
+
+
+@query(f"WITH {SP}, s AS (SELECT id FROM v WHERE id % 3 = 0), g AS (SELECT s.id, count(e.dst) AS degree FROM s LEFT JOIN e ON e.src = s.id AND e.dst % 3 = 0 GROUP BY s.id) SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) - 1 AS pos FROM g")
+def internal_degree_order(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return layout.internal_degree_order(g, g.vertices.where("id % 3 = 0").select("id"))
+
+
+@query()
+def bfs_order_csr(spark, sf_dir):
+    return layout.bfs_order(graph(spark, sf_dir, "order_part"))
+
+
+@query(f"WITH {CN} SELECT id, community AS block FROM v")
+def native_partition(spark, sf_dir):
+    return layout.native_partition(graph(spark, sf_dir, "customer_nation"))
+
+
+@query(f"WITH {CN}, g AS (SELECT v.id, v.community, count(e.dst) AS d FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id, v.community) SELECT community AS block, count(*) AS vertices, sum(d + 1)::BIGINT AS weight FROM g GROUP BY community")
+def block_weight(spark, sf_dir):
+    g = graph(spark, sf_dir, "customer_nation")
+    return layout.block_weight(g, layout.native_partition(g))
+
+
+@query(f"WITH {SP}, b AS (SELECT id, id % 50 * 7 AS block FROM v) SELECT id, dense_rank() OVER (ORDER BY block) - 1 AS block FROM b")
+def compress_block_ids(spark, sf_dir):
+    g = graph(spark, sf_dir, "supplier_part")
+    return layout.compress_block_ids(g.vertices.select("id", (F.col("id") % 50 * 7).alias("block")))
+
+
+@query()
+def weight_bounded_partition(spark, sf_dir):
+    return layout.weight_bounded_partition(graph(spark, sf_dir, "supplier_part"), 4096)
+
+
+@query()
+def kway_partition(spark, sf_dir):
+    return layout.kway_partition(graph(spark, sf_dir, "supplier_part"), 16)
+
+
+@query()
+def gorder(spark, sf_dir):
+    g = graph(spark, sf_dir, "customer_nation")
+    return layout.window_order(g, layout.native_partition(g))
+
+
+@query()
+def graph_sparsification(spark, sf_dir):
+    return layout.sparsify(graph(spark, sf_dir, "order_part"), 2)
+
+
+@query()
+def sample_bfs(spark, sf_dir):
+    return sampling.sample_bfs(graph(spark, sf_dir, "supplier_part"), 0, 200).edges
+
+
+@query()
+def sample_random_walk(spark, sf_dir):
+    return sampling.sample_random_walk(graph(spark, sf_dir, "supplier_part"), 0, 60)
+
+
+@query(f"WITH {CN}, c AS (SELECT id FROM v WHERE community = (SELECT community FROM v WHERE id = 5)) SELECT src, dst FROM e WHERE src IN (SELECT id FROM c) AND dst IN (SELECT id FROM c)")
+def sample_page(spark, sf_dir):
+    g = graph(spark, sf_dir, "customer_nation")
+    return sampling.sample_block(g, layout.native_partition(g), 5).edges
+
+
+# updates
+
+
+@query(f"WITH {DELTAS}, {_merged_sql()} SELECT src, dst FROM m")
+def apply_deltas(spark, sf_dir):
+    return deltas.apply_deltas(derive.event_base(spark, sf_dir), derive.event_deltas(spark, sf_dir))
+
+
+@query(f"WITH {DELTAS}, {_merged_sql()} SELECT src, dst, commit_ts FROM m")
+def apply_deltas_ts(spark, sf_dir):
+    return deltas.apply_deltas_ts(derive.event_base(spark, sf_dir), derive.event_deltas(spark, sf_dir))
+
+
+@query(f"WITH {DELTAS}, {_merged_sql('(SELECT * FROM d WHERE op = ' + chr(39) + 'INSERT' + chr(39) + ')')} SELECT src, dst FROM m")
+def insert_edge(spark, sf_dir):
+    return deltas.apply_deltas(derive.event_base(spark, sf_dir), derive.event_deltas(spark, sf_dir).where("op = 'INSERT'"))
+
+
+@query(f"WITH {DELTAS}, {_merged_sql('(SELECT * FROM d WHERE op = ' + chr(39) + 'DELETE' + chr(39) + ')')} SELECT src, dst FROM m")
+def delete_edge(spark, sf_dir):
+    return deltas.apply_deltas(derive.event_base(spark, sf_dir), derive.event_deltas(spark, sf_dir).where("op = 'DELETE'"))
+
+
+@query(f"WITH {DELTAS}, {_merged_sql()} SELECT dst FROM m WHERE src = 3")
+def neighbors_merged(spark, sf_dir):
+    return deltas.neighbors_merged(derive.event_base(spark, sf_dir), derive.event_deltas(spark, sf_dir), 3)
+
+
+@query(f"WITH {DELTAS}, {_merged_sql('(SELECT * FROM d WHERE commit_ts <= 40)')} SELECT src, dst FROM m")
+def snapshot_read(spark, sf_dir):
+    return deltas.snapshot_edges(derive.event_base(spark, sf_dir), derive.event_deltas(spark, sf_dir), 40)
+
+
+@query("SELECT user_id AS src, count(*) AS records FROM events GROUP BY user_id")
+def delta_chain_length(spark, sf_dir):
+    return deltas.chain_lengths(derive.event_deltas(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type <> 'click') AS writes, count(*) FILTER (WHERE event_type = 'click') AS reads FROM events GROUP BY user_id),
+r AS (SELECT *, writes::DOUBLE / (reads + writes) AS w FROM c)
+SELECT id, reads, writes, round(w, 9) AS write_ratio, CASE WHEN reads + writes < 8 THEN 4 WHEN w < 0.1 THEN 1 WHEN w < 0.25 THEN 4 WHEN w < 0.5 THEN 6 WHEN w < 0.75 THEN 12 ELSE 20 END::BIGINT AS threshold,
+  CASE WHEN reads + writes < 8 THEN 0 WHEN w < 0.1 THEN 0 WHEN w < 0.25 THEN 1 WHEN w < 0.5 THEN 2 WHEN w < 0.75 THEN 3 ELSE 4 END::BIGINT AS reservation FROM r""")
+def update_sketch(spark, sf_dir):
+    e = derive.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count_if(F.col("event_type") == "click").alias("reads"), F.count_if(F.col("event_type") != "click").alias("writes"))
+    return deltas.update_sketch(e).withColumn("write_ratio", F.round("write_ratio", 9))
+
+
+@query("""SELECT c_custkey AS id, 'segment' AS key, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS value FROM customer
+UNION ALL SELECT c_custkey, 'name', c_name FROM customer WHERE c_custkey % 5 <> 0""")
+def vertex_props(spark, sf_dir):
+    return properties.current(derive.customer_properties(spark, sf_dir)).select("id", "key", F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT user_id AS id, event_id % 97 + 1000 AS dst, 'type' AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id, event_id % 97")
+def edge_props(spark, sf_dir):
+    e = derive.read(spark, sf_dir, "events")
+    log = e.select(
+        F.col("event_id").alias("seq"), F.lit("edge").alias("kind"), F.col("user_id").alias("id"), (F.col("event_id") % 97 + 1000).alias("dst"),
+        F.lit("type").alias("key"), F.col("event_type").cast("binary").alias("value"), F.lit(False).alias("deleted"),
+    )
+    return properties.current(log).select("id", "dst", "key", F.col("value").cast("string").alias("value"))
+
+
+# workloads, codec
+
+
+@query()
+def generate_workload(spark, sf_dir):
+    return workload.random_workload(spark, 500, 4)
+
+
+@query()
+def to_zipfian(spark, sf_dir):
+    return workload.to_zipf(derive.event_list(spark, sf_dir), 1.0, 42, 400)
+
+
+@query("SELECT row_number() OVER (ORDER BY user_id, event_id % 97, event_id) - 1 AS seq, user_id AS src, event_id % 97 + 1000 AS dst FROM events")
+def apply_sequential(spark, sf_dir):
+    return workload.replay_order(derive.event_list(spark, sf_dir), "SEQUENTIAL")
+
+
+@query("SELECT event_id AS seq, user_id AS src, event_id % 97 + 1000 AS dst FROM events ORDER BY event_id LIMIT 100 OFFSET 50")
+def apply_range(spark, sf_dir):
+    return workload.replay_range(derive.event_list(spark, sf_dir), 50, 100)
+
+
+@query(f"WITH {CN} SELECT v.id, coalesce(string_agg(e.dst::VARCHAR, ',' ORDER BY e.dst), '') AS ids, sum(CASE WHEN e.dst IS NULL THEN 0 WHEN e.dst < 64 THEN 1 WHEN e.dst < 16384 THEN 2 WHEN e.dst < 4194304 THEN 3 ELSE 4 END)::BIGINT AS bytes FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id")
+def ptv_round_trip(spark, sf_dir):
+    lists = topology.adjacency(graph(spark, sf_dir, "customer_nation"))
+    coded = lists.select("id", codec.encode_ids(F.col("neighbors")).alias("data"))
+    return coded.select("id", F.array_join(codec.decode_ids(F.col("data")).cast("array<string>"), ",").alias("ids"), F.length("data").cast("long").alias("bytes"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
