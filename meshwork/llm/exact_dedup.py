@@ -169,9 +169,14 @@ def same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
     ``sha`` names one incoming group and one held bucket, so there is one pair
     of representatives for each, however many copies there are.
     """
-    wanted = materialise(pairs.select(F.col("keep").alias("__id")).union(pairs.select("held_id")).distinct(), "wanted")
+    wanted = materialise(pairs.select(F.col("keep").alias("__wanted")).union(pairs.select("held_id")).distinct(), "wanted")
     text = normalised(F.col(text_col))
-    found = small_join(docs.select(F.col(id_col).alias("__id"), F.col(text_col)), wanted, "__id", "left_semi")
-    texts = found.select("__id", F.sha2(text, 256).alias("sha"), text.alias("body")).dropDuplicates(["__id", "sha"])
-    one, two = texts.select(F.col("__id").alias("keep"), "sha", F.col("body").alias("a")), texts.select(F.col("__id").alias("held_id"), "sha", F.col("body").alias("b"))
-    return materialise(pairs.join(one, ["keep", "sha"]).join(two, ["held_id", "sha"]).where(F.col("a").cast("binary") == F.col("b").cast("binary")).select("batch", "sha", "root"), "same")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col))
+    found = small_join(rows, wanted, F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi")
+    texts = found.select("__id", F.sha2(text, 256).alias("of"), text.cast("binary").alias("body")).dropDuplicates(["__id", "of"])
+
+    def with_text(df, id_name, body):
+        own = texts.select(F.col("__id").alias("__id"), F.col("of").alias("__of"), F.col("body").alias(body))
+        return df.join(own, F.col(id_name).eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__of"))).drop("__id", "__of")
+
+    return materialise(with_text(with_text(pairs, "keep", "__a"), "held_id", "__b").where("__a = __b").select("batch", "sha", "root"), "same")
