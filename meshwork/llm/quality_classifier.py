@@ -66,7 +66,7 @@ def content_features(texts: pa.Array) -> np.ndarray:
         three = mixed(hashes[:-2] + mixed(hashes[1:-1] + mixed(hashes[2:])))
         whole = doc[:-2] == doc[2:]
         got = np.bincount(doc[:-2][whole], minlength=n)
-        out[:, at + 3] = np.where(got > 0, _distinct(three[whole], doc[:-2][whole], n) / np.maximum(got, 1), 1.0)
+        out[:, at + 3] = np.where(got > 0, _distinct(three[whole], doc[:-2][whole], n) / np.maximum(got, 1), words > 0)
     out[full, at + 4] = (np.add.reduceat((sizes <= 2).astype(np.int64), first[full])) / words[full]
     out[full, at + 5] = np.maximum.reduceat(sizes, first[full]).clip(0, 100) / 100
     out[full, at + 6] = (words[full] < 50).astype(np.float32)
