@@ -10,10 +10,13 @@ signature's bands deal representatives into buckets:
 
 1. Each member of a bucket is held against the bucket's smallest id. Links that
    the full sets confirm are joined by union-find.
-2. In buckets that still hold several components, the members outside the
-   largest one are held against every member of another component. Buckets
-   above SMALL members are first split by the other bands; a bucket of any size
-   is treated that way in the end, so no candidate is dropped.
+2. In buckets of up to SMALL members that still hold several components, the
+   members outside the largest one are held against those of other components.
+3. The members of larger open buckets go through an exact prefix filter: two
+   sets that are similar enough share one of their rarest shingles (a quarter
+   of the set and one more). Texts that only have a passage in common, and
+   copies with many edits of their own, have rarer shingles than the shared
+   ones, so they are not paired; no candidate is dropped.
 
 Pairs inside a component are never made, so a huge group of near copies costs
 about one pair per member and band, not the square of its size.
@@ -35,8 +38,8 @@ BANDS = PLACES // ROWS
 SHINGLE, PERCENT = 5, 75
 #: Share of equal signature places below which a pair is not looked at: over four standard errors under 0.75.
 LEAST_AGREEMENT = 0.58
-#: Members of a bucket that may be paired without splitting it further, and how often it is split.
-SMALL, SPLITS = 64, 2
+#: Members of a bucket that may be paired directly; larger ones go through the prefix filter.
+SMALL = 48
 
 
 def superminhash(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
@@ -65,7 +68,7 @@ def superminhash(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
 
 
 def _signed(batches):
-    """(id, n, a, b, bands, sig): a and b digest the set, sig holds 16 bits a place."""
+    """(id, n, a, b, bands, sig): a and b digest the set, sig holds 8 bits a place."""
     for batch in batches:
         ids, texts = batch.column("id"), batch.column("text")
         for start, rows in slices(texts):
@@ -83,7 +86,7 @@ def _signed(batches):
                 for j in range(ROWS):
                     key = mixed(key + sig[j::ROWS])
                 bands.append(mixed(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-                sigs.append((sig & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                sigs.append((sig & np.uint64(0xFF)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(start, rows), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                 names=["id", "n", "a", "b", "bands", "sig"],
@@ -97,11 +100,19 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, rows), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
+def _listed(batches):
+    """(id, shingles): the full sets as arrays of whole numbers."""
+    for batch in batches:
+        for start, rows in slices(batch.column("text")):
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").slice(start, rows), SHINGLE)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, rows), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+
 def _agreeing(batches):
     """Of pairs with both signatures those that agree in enough places."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, PLACES) for c in ("sig_x", "sig_y"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("sig_x", "sig_y"))
             near = (x == y).sum(axis=1) >= LEAST_AGREEMENT * PLACES
             yield batch.select(["src", "dst"]).filter(pa.array(near))
 
@@ -119,8 +130,7 @@ def _verified(batches):
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Of candidate pairs (src, dst) those that the full sets confirm."""
-    sigs = reps.select("id", "sig")
-    x, y = (sigs.select(F.col("id").alias(c), F.col("sig").alias(s)) for c, s in (("src", "sig_x"), ("dst", "sig_y")))
+    x, y = (reps.select(F.col("id").alias(c), F.col("sig").alias(s)) for c, s in (("src", "sig_x"), ("dst", "sig_y")))
     likely = materialise(pairs.join(x, "src").join(y, "dst").mapInArrow(_agreeing, "src long, dst long"), "likely")
     wanted = materialise(likely.select(F.col("src").alias("id")).union(likely.select("dst")).distinct(), "wanted")
     sets = materialise(small_join(docs, wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, set binary"), "sets")
@@ -143,6 +153,31 @@ def _across(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).distinct()
 
 
+def _prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Candidate pairs among the members (key, id, comp, top) of open buckets by an exact prefix filter.
+
+    Shingles are ordered by how many of these texts hold them. A pair has one
+    end outside the largest component of a bucket, and its ends are of
+    different components. Shingles of one text alone count for the prefix but
+    are not joined.
+    """
+    ids = materialise(members.groupBy("id").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("top")).alias("out")), "ids")
+    texts = small_join(docs, ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    rows = materialise(texts.mapInArrow(_listed, "id long, shingles array<long>").select("id", F.explode("shingles").alias("s")), "listed")
+    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = rows.join(counts, "s")
+    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    per = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("l")).join(sizes, "id").join(ids, "id")
+    # of n shingles, those that the text has to itself come first and use up the prefix
+    alone = F.col("n") - F.size("l")
+    reach = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - alone
+    prefix = materialise(per.where(reach > 0).select("id", "comp", "out", F.explode(F.slice("l", F.lit(1), reach.cast("int"))).alias("e")).select("id", "comp", "out", F.col("e.s").alias("s")), "prefix")
+    x = prefix.where("out").select("s", F.col("id").alias("x"), F.col("comp").alias("cx"))
+    y = prefix.select("s", F.col("id").alias("y"), F.col("comp").alias("cy"), "out")
+    pairs = x.join(y, "s").where("cx <> cy AND (NOT out OR x < y)")
+    return pairs.select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
@@ -156,9 +191,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(docs.mapInArrow(_signed, "id long, n long, a long, b long, bands array<long>, sig binary"), "signatures")
     groups = materialise(signed.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep")), "sets")
-    reps = signed.where("n > 0").join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "bands", "sig").dropDuplicates(["id"])
-    reps = materialise(reps, "reps")
-    rows = reps.select("id", F.explode("bands").alias("key"))
+    first = signed.where("n > 0").join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    reps = materialise(first.dropDuplicates(["id"]).select("id", "sig"), "reps")
+    rows = first.select("id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     members = materialise(rows.join(buckets, "key"), "members")
     star = members.where("id <> leader").select(F.col("id").alias("src"), F.col("leader").alias("dst")).distinct()
@@ -171,13 +206,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # several components in a bucket: what lies outside the largest is held against the others
     left = materialise(_open(labelled(members.select("key", "id"))), "open")
     pairs = _across(left.where(F.col("size") <= SMALL))
-    for split in range(1, SPLITS + 1):
-        large = left.where(F.col("size") > SMALL).select("key", "id")
-        if large.isEmpty():
-            break
-        finer = large.join(reps.select("id", F.explode("bands").alias("band")), "id").where("key <> band")
-        left = materialise(_open(labelled(finer.select(F.xxhash64("key", "band").alias("key"), "id"))), "open")
-        pairs = pairs.union(_across(left if split == SPLITS else left.where(F.col("size") <= SMALL)))
+    large = left.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        pairs = pairs.union(_prefix_pairs(docs, large))
     more = _confirmed(docs, materialise(pairs.distinct(), "pairs"), reps)
     comps = materialise(connected_components(links.union(more)), "components")
     classes = groups.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("label", "rep").alias("component"))
