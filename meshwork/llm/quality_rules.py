@@ -147,4 +147,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    return verdicts(docs, fit(docs, labels, id_col, text_col), text_col).where("__verdict.kept").drop("__verdict")
+    judged = verdicts(docs, fit(docs, labels, id_col, text_col), text_col)
+    # a filter on the verdict itself would be pushed below its own steps, each copied into it; the generator stops that
+    passed = judged.select("*", F.explode(F.when(F.col("__verdict.kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("__pass"))
+    return passed.select(*docs.columns)
