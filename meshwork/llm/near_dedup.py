@@ -12,11 +12,13 @@ signature's bands deal representatives into buckets:
    the full sets confirm are joined by union-find.
 2. In buckets of up to SMALL members that still hold several components, the
    members outside the largest one are held against those of other components.
-3. The members of larger open buckets go through an exact prefix filter: two
-   sets that are similar enough share one of their rarest shingles (a quarter
-   of the set and one more). Texts that only have a passage in common, and
-   copies with many edits of their own, have rarer shingles than the shared
-   ones, so they are not paired; no candidate is dropped.
+3. The members of larger open buckets are held against the bucket's most
+   central text. Those still apart go through an exact prefix filter: two sets
+   that are similar enough share one of their rarest shingles (a quarter of the
+   set and one more), early enough in both for the overlap to suffice. Texts
+   that only have a passage in common, and copies with many edits of their own,
+   have rarer shingles than the shared ones, so they are not paired; no
+   candidate is dropped.
 
 Pairs inside a component are never made, so a huge group of near copies costs
 about one pair per member and band, not the square of its size.
@@ -153,28 +155,48 @@ def _across(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).distinct()
 
 
-def _prefix_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Candidate pairs among the members (key, id, comp, top) of open buckets by an exact prefix filter.
+def _rare_first(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n, alone, l, centre) for the members of large buckets.
 
-    Shingles are ordered by how many of these texts hold them. A pair has one
-    end outside the largest component of a bucket, and its ends are of
-    different components. Shingles of one text alone count for the prefix but
-    are not joined.
+    ``l`` are the shingles that other members have too, as (df, s), the rarest
+    first; ``alone`` is the number of those that the text has to itself, which
+    come before them. ``centre`` is the mean df: the texts of a family with the
+    fewest changes of their own have the largest.
     """
-    ids = materialise(members.groupBy("id").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("top")).alias("out")), "ids")
-    texts = small_join(docs, ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    ids = materialise(members.select("id").distinct(), "ids")
+    texts = small_join(docs, ids, "id", "left_semi").dropDuplicates(["id"])
     rows = materialise(texts.mapInArrow(_listed, "id long, shingles array<long>").select("id", F.explode("shingles").alias("s")), "listed")
     counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = rows.join(counts, "s")
     sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    per = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("l")).join(sizes, "id").join(ids, "id")
-    # of n shingles, those that the text has to itself come first and use up the prefix
-    alone = F.col("n") - F.size("l")
-    reach = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - alone
-    prefix = materialise(per.where(reach > 0).select("id", "comp", "out", F.explode(F.slice("l", F.lit(1), reach.cast("int"))).alias("e")).select("id", "comp", "out", F.col("e.s").alias("s")), "prefix")
-    x = prefix.where("out").select("s", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    y = prefix.select("s", F.col("id").alias("y"), F.col("comp").alias("cy"), "out")
-    pairs = x.join(y, "s").where("cx <> cy AND (NOT out OR x < y)")
+    per = rows.join(counts, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("l"), F.sum("df").alias("sum"))
+    return materialise(per.join(sizes, "id").select("id", "n", (F.col("n") - F.size("l")).alias("alone"), "l", (F.col("sum") / F.col("n")).alias("centre")), "rare")
+
+
+def _central_pairs(members: DataFrame, rare: DataFrame) -> DataFrame:
+    """Each member of a large open bucket with the bucket's most central text, if their components differ."""
+    placed = members.select("key", "id", "comp").join(rare.select("id", "centre"), "id")
+    hubs = placed.groupBy("key").agg(F.max(F.struct("centre", "id", "comp")).alias("hub"))
+    pairs = placed.join(hubs, "key").where(F.col("comp") != F.col("hub.comp")).select("id", F.col("hub.id").alias("hub"))
+    return pairs.select(F.greatest("id", "hub").alias("src"), F.least("id", "hub").alias("dst")).distinct()
+
+
+def _prefix_pairs(members: DataFrame, rare: DataFrame) -> DataFrame:
+    """Candidate pairs among the members (key, id, comp, top) of open buckets by an exact prefix filter.
+
+    One end lies outside the largest component of a bucket, and the components
+    differ. A similar pair's first common shingle lies within both prefixes,
+    and what is left behind it in either set suffices for the overlap that the
+    sizes ask for; shingles of one text alone count for the places.
+    """
+    ids = members.groupBy("id").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("top")).alias("out"))
+    reach = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("alone")
+    front = rare.where(reach > 0).join(ids, "id").select("id", "comp", "out", "n", "alone", F.posexplode(F.slice("l", F.lit(1), reach.cast("int"))).alias("at", "e"))
+    prefix = materialise(front.select("id", "comp", "out", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("behind"), F.col("e.s").alias("s")), "prefix")
+    x = prefix.where("out").select("s", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
+    y = prefix.select("s", F.col("id").alias("y"), F.col("comp").alias("cy"), "out", F.col("n").alias("ny"), F.col("behind").alias("by"))
+    # ``behind`` counts the common shingle itself; an overlap o is enough if o * (100 + PERCENT) >= PERCENT * (nx + ny)
+    enough = (100 + PERCENT) * F.least("bx", "by") >= PERCENT * (F.col("nx") + F.col("ny"))
+    pairs = x.join(y, (x["s"] == y["s"]) & (F.col("cx") != F.col("cy")) & (~F.col("out") | (F.col("x") < F.col("y"))) & enough)
     return pairs.select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).distinct()
 
 
@@ -208,7 +230,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = _across(left.where(F.col("size") <= SMALL))
     large = left.where(F.col("size") > SMALL)
     if not large.isEmpty():
-        pairs = pairs.union(_prefix_pairs(docs, large))
+        # first against the most central text, which settles most of a family, then by prefixes what is still open
+        rare = _rare_first(docs, large)
+        links = links.union(_confirmed(docs, materialise(_central_pairs(large, rare), "central"), reps))
+        comps = materialise(connected_components(links), "components")
+        still = materialise(_open(large.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))), "still")
+        pairs = pairs.union(_prefix_pairs(still, rare))
     more = _confirmed(docs, materialise(pairs.distinct(), "pairs"), reps)
     comps = materialise(connected_components(links.union(more)), "components")
     classes = groups.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("label", "rep").alias("component"))
