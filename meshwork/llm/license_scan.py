@@ -81,9 +81,10 @@ def spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str =
     """
     spark = docs.sparkSession
     tpl = template_table(spark, templates)
-    places = tpl.select("label", F.posexplode(_grams(_hashes(F.col("tpl")), k)).alias("at", "gram"))
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), license_words(F.col(text_col)).alias("w")).where(F.size("w") >= k)
-    grams = words.select("id", "key", F.posexplode(_grams(_hashes(F.col("w")), k)).alias("pos", "gram"))
+    # the hashes are a column of their own: within the grams' lambda an expression would be worked out again for each word
+    places = tpl.select("label", _hashes(F.col("tpl")).alias("h")).select("label", F.posexplode(_grams(F.col("h"), k)).alias("at", "gram"))
+    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), license_words(F.col(text_col)).alias("w"))
+    grams = words.select("id", "key", _hashes(F.col("w")).alias("h")).select("id", "key", F.posexplode(_grams(F.col("h"), k)).alias("pos", "gram"))
     hits = grams.join(F.broadcast(places), "gram").select("id", "key", "label", (F.col("pos") - F.col("at")).alias("diagonal"), "pos")
     # repeated rows vote once
     votes = hits.groupBy("id", "key", "label", "diagonal").agg(F.collect_set("pos").alias("set"))
