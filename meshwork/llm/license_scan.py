@@ -89,10 +89,14 @@ def spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str =
     # repeated rows vote once
     votes = hits.groupBy("id", "key", "label", "diagonal").agg(F.collect_set("pos").alias("set"))
     diagonals = materialise(votes.select("id", "key", "label", "diagonal", F.size("set").alias("votes"), F.array_min("set").alias("first"), F.array_max("set").alias("last")), "diagonals")
-    per = Window.partitionBy("id", "key", "label").orderBy("first", "diagonal")
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(per)) > NEAR) | (F.col("first") - F.lag("last").over(per) > GAP)
-    merged = diagonals.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(per.rowsBetween(Window.unboundedPreceding, 0)))
-    found = merged.groupBy("id", "key", "label", "span").agg(F.collect_set("diagonal").alias("diagonals"), F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + k).alias("end"))
+    # bands of near diagonals first, then places: a stray diagonal, of a gram that the template holds twice, cannot come between two true ones
+    per = Window.partitionBy("id", "key", "label").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(per) > NEAR
+    banded = diagonals.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("band", F.sum("new").over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    per = Window.partitionBy("id", "key", "label", "band").orderBy("first", "diagonal")
+    far = F.col("first") - F.max("last").over(per.rowsBetween(Window.unboundedPreceding, -1)) > GAP
+    merged = banded.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    found = merged.groupBy("id", "key", "label", "band", "span").agg(F.collect_set("diagonal").alias("diagonals"), F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + k).alias("end"))
     # verification: the words themselves, at the merged diagonals
     wanted = materialise(diagonals.select("id", "key").distinct(), "wanted")
     texts = small_join(words, wanted, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])

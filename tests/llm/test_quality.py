@@ -150,6 +150,22 @@ def test_license_scan(spark):
     assert S.scan(docs_of(spark, [])).count() == 0
 
 
+def test_one_word_in_or_out_keeps_the_label(spark):
+    rng = random.Random(12)
+    texts, want = [], []
+    for label in (x for x in S.TEMPLATES if x.endswith("-notice")):
+        w = S._split(S.TEMPLATES[label])
+        for i in range(len(w)):
+            texts += [" ".join(w[:i] + ["zzyzx"] + w[i:]), f"{prose(rng, 20)} {' '.join(w[:i] + w[i + 1 :])} {prose(rng, 20)}"]
+            want += [label] * 2
+    got = {r["doc_id"]: r["labels"].split(",") for r in S.scan(docs_of(spark, texts)).collect()}
+    assert [(i, x) for i, x in enumerate(want) if x not in got[i]] == []
+    # notices far apart, and one after the other, are spans of their own
+    w = S.TEMPLATES["gpl-notice"]
+    spans = S.scan(docs_of(spark, [f"{w} {prose(rng, 300)} {w}", f"{w} {w}"])).collect()
+    assert [sum(s["label"] == "gpl-notice" for s in r["spans"]) for r in spans] == [2, 2]
+
+
 # co-training
 
 
