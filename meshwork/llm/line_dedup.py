@@ -54,18 +54,29 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def drop_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, fold: bool = False) -> DataFrame:
     """``df`` with __host, __lines (what stays), __n_lines and __n_dropped.
 
     A null host is the host "". Blank lines are never boilerplate. A page with
     the same line twice counts once for it and loses both. Repeated rows are
-    pages of their own; an empty table gives an empty result; a page may lose
-    all of its lines and stays, empty. Other columns stay as they are.
+    pages of their own, but with ``fold`` the pages of a host with the same
+    lines are counted as one, in a line's pages and in the host's; an empty
+    table gives an empty result; a page may lose all of its lines and stays,
+    empty. Other columns stay as they are.
     """
     df = df.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__lines", lines)
     df = df.withColumn("__keys", F.transform("__lines", _key))
-    pages = df.groupBy("__host").agg(F.count(F.lit(1)).alias("of"))
-    held = df.select("__host", F.explode(F.array_distinct(F.filter("__keys", lambda x: x.isNotNull()))).alias("line")).groupBy("__host", "line").agg(F.count(F.lit(1)).alias("on"))
+    held = df.select("__host", F.array_distinct(F.filter("__keys", lambda x: x.isNotNull())).alias("lines"))
+    if fold:
+        # the null line stands for the page itself, so that one pass counts both
+        once = held.withColumn("page", F.xxhash64("lines")).dropDuplicates(["__host", "page"])
+        lined = once.select("__host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "lines")).alias("line"))
+        counts = lined.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("on"))
+        counts = materialise(counts.where(F.col("line").isNull() | (F.col("on") >= min_pages)), "held")
+        pages, held = counts.where("line IS NULL").select("__host", F.col("on").alias("of")), counts.where("line IS NOT NULL")
+    else:
+        pages = df.groupBy("__host").agg(F.count(F.lit(1)).alias("of"))
+        held = held.select("__host", F.explode("lines").alias("line")).groupBy("__host", "line").agg(F.count(F.lit(1)).alias("on"))
     # a host has at most (lines of a page / ratio) boilerplate lines, so the arrays stay short
     often = held.where(F.col("on") >= min_pages).join(pages, "__host").where(F.col("on") >= F.lit(ratio) * F.col("of"))
     sites = materialise(often.groupBy("__host").agg(F.collect_set("line").alias("__often")), "sites")
@@ -86,8 +97,12 @@ def clean_pages(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", ratio: float = SOURCE_RATIO, min_pages: int = SOURCE_MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines of their source taken out of the text; n_chars, where there is one, follows."""
-    df = drop_boilerplate(docs, F.col(source_col), text_lines(F.col(text_col)), ratio, min_pages)
+    """``docs`` with boilerplate lines of their source taken out of the text; n_chars, where there is one, follows.
+
+    Equal texts of a source are one page: copies of a document, which a later
+    stage folds, do not make its lines boilerplate.
+    """
+    df = drop_boilerplate(docs, F.col(source_col), text_lines(F.col(text_col)), ratio, min_pages, fold=True)
     text = F.when(F.col("__n_dropped") > 0, F.array_join("__lines", "\n")).otherwise(F.col(text_col))
     df = df.withColumn(text_col, text)
     if "n_chars" in docs.columns:

@@ -93,6 +93,21 @@ def test_documents_lose_boilerplate_only(spark):
     assert got[40]["text"] is None and got[41]["text"] == "" and got[42]["text"] == ""
 
 
+@pytest.mark.parametrize("copies", [5, 60])
+def test_copies_of_a_document_are_one_page(spark, copies):
+    rng = random.Random(6)
+    clean = f"{prose(rng, 30)}\n{prose(rng, 30)}\n{prose(rng, 9)}"
+    texts = [f"{prose(rng, 30)}\nsubscribe to our letter" for _ in range(100)] + [clean] * copies
+    lines = L.clean_documents(docs_of(spark, texts))
+    got = [r["text"] for r in lines.orderBy("doc_id").collect()]
+    assert got[100:] == [clean] * copies
+    assert got[:100] == [t.split("\n")[0] for t in texts[:100]]
+    assert [r["text"] for r in N.keep_one(lines).collect()].count(clean) == 1
+    # copies do not raise the source's total either: 6 of 105 texts hold the line
+    few = [f"{prose(rng, 20)}\nread on" for _ in range(6)] + [prose(rng, 20) for _ in range(98)] + [clean] * 300
+    assert not any("read on" in r["text"] for r in L.clean_documents(docs_of(spark, few)).collect())
+
+
 # near dedup
 
 
