@@ -4,7 +4,9 @@ Word n-grams (one and two words) are hashed to a fixed number of buckets. Two
 multinomials over the buckets are counted: one over the trusted texts and one
 over the whole raw corpus, every text whole. A document's score is the mean
 over its n-grams of log P(bucket | trusted) / P(bucket | raw); it is kept when
-the score reaches a fixed threshold. Counts are integers and each score is a
+the score reaches a fixed threshold. Every language of the raw corpus weighs
+what it has among the trusted texts: which languages happen to be labelled says
+nothing of a document. Counts are integers and each score is a
 sum in the order of the text, so that reruns agree to the last bit.
 
 DataFrame operations only. Scoring is a projection without a shuffle.
@@ -13,6 +15,7 @@ DataFrame operations only. Scoring is a projection without a shuffle.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ THRESHOLD = -0.05
 #: Pseudo-count of each bucket in the trusted multinomial, as a share of the raw one.
 PRIOR_WEIGHT = 2000.0
 MIN_WORDS = 50
+#: Slots of languages.
+LANGS = 32
 #: Labelled documents that serve as the trusted target, at most.
 TRUSTED_DOCS = 20_000
 
@@ -83,29 +88,60 @@ def base_columns(docs: DataFrame, text_col: str) -> DataFrame:
     ).drop("__words", "__lines", "__win")
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """How often each bucket occurs in all texts, and in the trusted ones.
+def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str = "lang") -> DataFrame:
+    """How often each bucket occurs in all texts, and in the trusted ones, by language.
 
     One pass over the corpus; partial counts keep the shuffle to a row for each
-    bucket and task. ``trusted`` holds TRUSTED_DOCS ids at most.
+    bucket, language and task. ``trusted`` holds TRUSTED_DOCS ids at most.
+    Languages are hashed to LANGS slots, null like a language; those that share
+    a slot are weighed as one.
     """
-    marked = docs.select(F.col(id_col).alias("__id"), words(F.col(text_col)).alias("w")).join(F.broadcast(trusted), "__id", "left")
-    hashed = marked.select(F.coalesce("__good", F.lit(0)).alias("good"), _hashes(F.col("w")).alias("h"))
-    pieces = hashed.select("good", F.explode(F.concat(F.col("h"), _pairs(F.col("h")))).alias("piece"))
-    return pieces.groupBy(_bucket(F.col("piece")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
+    lang = F.pmod(F.xxhash64(F.col(lang_col)), F.lit(LANGS)) if lang_col in docs.columns else F.lit(0)
+    marked = docs.select(F.col(id_col).alias("__id"), lang.cast("int").alias("lang"), words(F.col(text_col)).alias("w")).join(F.broadcast(trusted), "__id", "left")
+    hashed = marked.select("lang", F.coalesce("__good", F.lit(0)).alias("good"), _hashes(F.col("w")).alias("h"))
+    pieces = hashed.select("lang", "good", F.explode(F.concat(F.col("h"), _pairs(F.col("h")))).alias("piece"))
+    return pieces.groupBy("lang", _bucket(F.col("piece")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
 
 
-def log_ratios(trusted: dict[int, int], raw: dict[int, int]) -> list[float]:
-    """log P(bucket | trusted) / P(bucket | raw), smoothed towards 0 where the trusted texts tell little."""
+def log_ratios(trusted: dict[int, int], raw: dict[int, int], level: dict[int, float] | None = None) -> list[float]:
+    """log P(bucket | trusted) / P(bucket | raw), smoothed towards 0 where the trusted texts tell little.
+
+    ``level``: the raw counts with the languages weighed as among the trusted
+    texts, which the ratio is then taken against.
+    """
     all_raw, all_trusted = sum(raw.values()) + BUCKETS, sum(trusted.values())
+    level = raw if level is None else level
+    all_level = sum(level.values()) + BUCKETS
     out = []
     for b in range(BUCKETS):
         p = (raw.get(b, 0) + 1) / all_raw
         q = (trusted.get(b, 0) + PRIOR_WEIGHT * p) / (all_trusted + PRIOR_WEIGHT)
-        out.append(math.log(q / p))
+        out.append(math.log(q / ((level.get(b, 0) + 1) / all_level)))
     return out
 
 
+def by_language(rows) -> tuple[dict[int, int], dict[int, int], dict[int, float]]:
+    """(trusted, raw, level) counts of each bucket, from (lang, bucket, n, good) rows.
+
+    A language's weight is its share of the trusted n-grams over its share of
+    the raw ones, smoothed as the buckets are: where no text of a language is
+    trusted, its buckets come out near 0.
+    """
+    rows = sorted(rows, key=lambda r: (r["lang"], r["bucket"]))
+    n, good = Counter(), Counter()
+    for r in rows:
+        n[r["lang"]] += r["n"]
+        good[r["lang"]] += r["good"]
+    all_raw, all_trusted = sum(n.values()), sum(good.values())
+    weight = {k: (good[k] * all_raw / n[k] + PRIOR_WEIGHT) / (all_trusted + PRIOR_WEIGHT) for k in n}
+    trusted, raw, level = Counter(), Counter(), Counter()
+    for r in rows:
+        trusted[r["bucket"]] += r["good"]
+        raw[r["bucket"]] += r["n"]
+        level[r["bucket"]] += weight[r["lang"]] * r["n"]
+    return trusted, raw, level
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids of texts that the labels call good: TRUSTED_DOCS at most, by a hash of the id."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
@@ -113,10 +149,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """The log ratio of each bucket, counted over all of ``docs``; BUCKETS rows reach the driver at most."""
+    """The log ratio of each bucket, counted over all of ``docs``; BUCKETS * LANGS rows reach the driver at most."""
     trusted = materialise(trusted_ids(labels), "trusted")
-    rows = bucket_counts(docs, trusted, id_col, text_col).collect()
-    return log_ratios({r["bucket"]: r["good"] for r in rows}, {r["bucket"]: r["n"] for r in rows})
+    return log_ratios(*by_language(bucket_counts(docs, trusted, id_col, text_col).collect()))
 
 
 def verdicts(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -57,6 +57,26 @@ def test_rules_tell_junk_from_prose(spark, sf_dir):
     assert Q.quality(docs_of(spark, ["a b"]), labels.limit(0)).first()["llr"] == 0.0
 
 
+def test_held_out_good_documents_are_kept_in_every_language(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    gone, of = {}, {}
+    for k in range(3):
+        held = {r["doc_id"] for r in labels.where("quality = 1").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == k}
+        for r in Q.quality(docs, labels.where(~labels["doc_id"].isin(list(held)))).collect():
+            if r["doc_id"] in held and not r["base_failed"]:
+                x = lang[r["doc_id"]]
+                of[x], gone[x] = of.get(x, 0) + 1, gone.get(x, 0) + (not r["kept"])
+    assert len(of) == 4 and all(10 * gone[x] <= of[x] for x in of), (gone, of)
+
+
+def test_languages_without_trusted_texts_are_not_judged_by_it():
+    rows = [{"lang": 1, "bucket": b, "n": 100_000, "good": 50_000} for b in range(50)] + [{"lang": 2, "bucket": b, "n": 100_000, "good": 0} for b in range(50, 60)]
+    got = Q.log_ratios(*Q.by_language(rows))
+    assert all(abs(x) < 0.05 for x in got[:50]) and all(abs(x) < 0.5 for x in got[50:60])
+
+
 # toxicity
 
 
