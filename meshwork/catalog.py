@@ -233,11 +233,19 @@ def bfs_sequential(spark, sf_dir):
 
 @query(f"WITH {SP} SELECT id, CASE WHEN id = 0 THEN 0 ELSE 1 END::BIGINT AS level FROM v WHERE id = 0 OR (id % 16 = 0 AND id IN (SELECT dst FROM e WHERE src = 0))")
 def bfs_block(spark, sf_dir):
-    """One hop within the block: in a bipartite block all of the start's neighbours are one level away."""
+    """The first step within the block, which is what its SQL has; ``bfs_block_levels`` has the whole search."""
     g = graph(spark, sf_dir, "supplier_part")
     return traversal.bfs_in_block(g, g.vertices.select("id", (F.col("id") % 16).alias("block")), 0).where("level <= 1")
 
 
+@query(f"""WITH RECURSIVE {SP}, k AS MATERIALIZED (SELECT src, dst FROM e WHERE src % 16 = 0 AND dst % 16 = 0), t(v, l) USING KEY (v) AS (SELECT 0::BIGINT, 0::BIGINT
+  UNION SELECT k.dst, min(t.l) + 1 FROM t JOIN k ON k.src = t.v LEFT JOIN recurring.t r ON r.v = k.dst WHERE r.v IS NULL GROUP BY k.dst) SELECT v AS id, l AS level FROM t""")
+def bfs_block_levels(spark, sf_dir):
+    """The whole search within the block; ``bfs_block`` has its first step only."""
+    g = graph(spark, sf_dir, "supplier_part")
+    return traversal.bfs_in_block(g, g.vertices.select("id", (F.col("id") % 16).alias("block")), 0)
+
+
 # components, ranks, communities
 
 _WCC = "w(v, c) USING KEY (v) AS (SELECT id, id FROM v UNION SELECT e.dst, min(w.c) FROM w JOIN e ON e.src = w.v JOIN recurring.w r ON r.v = e.dst GROUP BY e.dst, r.c HAVING min(w.c) < r.c)"

@@ -1,0 +1,23 @@
+"""Queries over whole blocks and whole tables against their SQL."""
+
+import duckdb
+
+from meshwork import catalog
+
+TABLES = ("lineitem", "part", "orders")
+
+
+def both(spark, sf_dir, name):
+    """The query's rows and its SQL's, sorted."""
+    db = duckdb.connect()
+    for t in TABLES:
+        db.sql(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
+    df = catalog.queries()[name](spark, sf_dir)
+    want = db.sql(catalog.oracle_sql()[name])
+    order = [want.columns.index(c) for c in df.columns]
+    return sorted(tuple(r) for r in df.collect()), sorted(tuple(r[i] for i in order) for r in want.fetchall())
+
+
+def test_search_in_a_block_goes_to_its_end(spark, sf_dir):
+    got, want = both(spark, sf_dir.replace("sf0.001", "sf0.01"), "bfs_block_levels")
+    assert got == want and len(got) == 121 and max(level for _, level in got) > 1
