@@ -33,6 +33,13 @@ def order_part(spark: SparkSession, sf_dir: str) -> Graph:
     return from_edges(li.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 1000 * SHIFT).alias("dst")), parts)
 
 
+def order_part_whole(spark: SparkSession, sf_dir: str) -> Graph:
+    """Orders and parts of all of lineitem; parts without edges are isolated."""
+    li = read(spark, sf_dir, "lineitem")
+    parts = read(spark, sf_dir, "part").select((F.col("p_partkey") + 1000 * SHIFT).alias("id"))
+    return from_edges(li.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 1000 * SHIFT).alias("dst")), parts)
+
+
 def customer_nation(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers and their nation, which is also the community of both."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c"), F.col("c_nationkey").cast("long").alias("n"))

@@ -1,6 +1,9 @@
 """Queries over whole blocks and whole tables against their SQL."""
 
+import math
+
 import duckdb
+import pytest
 
 from meshwork import catalog
 
@@ -21,3 +24,19 @@ def both(spark, sf_dir, name):
 def test_search_in_a_block_goes_to_its_end(spark, sf_dir):
     got, want = both(spark, sf_dir.replace("sf0.001", "sf0.01"), "bfs_block_levels")
     assert got == want and len(got) == 121 and max(level for _, level in got) > 1
+
+
+@pytest.mark.parametrize("name", catalog.THIN)
+def test_queries_on_all_of_lineitem(spark, sf_dir, name):
+    got, want = both(spark, sf_dir, f"{name}_whole")
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert all(x == y or (isinstance(x, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-9)) for x, y in zip(a, b)), (a, b)
+    assert "l_quantity" not in catalog.oracle_sql()[f"{name}_whole"]
+
+
+def test_every_lineitem_is_an_edge(spark, sf_dir):
+    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
+    assert catalog.queries()["edge_count_whole"](spark, sf_dir).first()[0] == 2 * pairs
+    sparse = catalog.queries()["bfs_order_csr"](spark, sf_dir)
+    assert sparse.count() == catalog.queries()["vertex_count_whole"](spark, sf_dir).first()[0]
