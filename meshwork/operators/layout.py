@@ -166,7 +166,8 @@ def window_order(graph: Graph, blocks: DataFrame, window: int = 20) -> DataFrame
     """(id, block, pos): a locality order within each block, worked out block by block in pandas.
 
     Blocks come from a weight-bounded partition; one above BLOCK_VERTICES
-    vertices or BLOCK_EDGES inner edges is an error.
+    vertices or BLOCK_EDGES inner edges is an error. Common neighbours through
+    a vertex with over 64 neighbours in the block are not scored.
     """
     ship(graph.spark)
     b = blocks.select("id", "block")
