@@ -9,16 +9,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table counts as small enough to be sent to every executor.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a table counts as small enough to be sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16_000_000
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
+#: Paths of the open scopes, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -38,12 +42,15 @@ def ship(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    ``spark.checkpoint.dir`` when the session has it. Only where it is unset
-    (tests, a single machine) a folder of this process serves instead.
+    ``spark.checkpoint.dir`` when the session has it. Where it is unset a folder
+    of this process serves on a local master (tests, a single machine); on a
+    cluster that would be another disk for each executor, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="meshwork-")
@@ -51,13 +58,22 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the scratch folder, deleted when the JVM ends."""
+    """A new path below the scratch folder, deleted when its scope or the JVM ends."""
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(jpath, True)
+    fs.cancelDeleteOnExit(jpath)
+
+
 def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
@@ -67,14 +83,65 @@ def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     spark = ship(df.sparkSession)
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._meshwork_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_meshwork_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            df._meshwork_path = None
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, keep: list[DataFrame]):
+    """Delete the scratch tables made within, but for those appended to ``keep``."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        kept = {getattr(df, "_meshwork_path", None) for df in keep}
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+            elif _scopes:
+                _scopes[-1].append(path)
+
+
+def row_bytes(schema: T.StructType) -> Column:
+    """About the bytes that a row takes: lengths of strings and arrays, eight for anything else."""
+
+    def of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+                return F.coalesce(F.aggregate(c, F.lit(16), lambda a, x: a + of(x, kind.elementType)), F.lit(16))
+            return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * 8 + 16
+        if isinstance(kind, T.StructType):
+            return sum((of(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+        return F.lit(8)
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields), F.lit(0))
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table, cheap to read, has few enough rows and bytes to be sent to every executor."""
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df.schema).cast("long")), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``small`` only after counting it.
+    """Join that broadcasts ``small`` only after its rows and bytes have been counted.
 
-    ``small`` should be cheap to count (materialised). Beyond ``limit`` rows the
-    join is a plain shuffle join whose skewed keys adaptive execution splits.
+    ``small`` should be cheap to read (materialised). Beyond ``limit`` rows or
+    BROADCAST_BYTES the join is a plain shuffle join whose skewed keys adaptive
+    execution splits.
     """
-    few = len(small.select(F.lit(1)).head(limit + 1)) <= limit if limit < 10_000 else small.count() <= limit
-    return big.join(F.broadcast(small) if few else small, on, how)
+    return big.join(F.broadcast(small) if is_small(small, limit) else small, on, how)
