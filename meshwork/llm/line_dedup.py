@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import BLANKS
 from meshwork.runtime import materialise, small_join
 
 #: A line is boilerplate from this share of a host's pages on, if at least so many pages hold it.
@@ -34,9 +33,9 @@ def page_lines(html: Column) -> Column:
     text = F.regexp_replace(text, r"<[^>]+>", "")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    # blanks other than line ends are folded, and with them the blanks beside line ends
-    text = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r" ?\n ?", "\n")
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
+    # blanks other than line ends are folded; then one split takes line ends with the blanks and empty lines beside them
+    text = F.btrim(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), F.lit(" \n"))
+    return F.filter(F.split(text, r" ?\n[ \n]*"), lambda x: x != "")
 
 
 def host_of(url: Column) -> Column:
@@ -48,66 +47,89 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _key(line: Column) -> Column:
-    """What lines are compared by: a hash of the line without outer and with folded blanks; null for blank lines."""
-    bare = F.btrim(F.regexp_replace(line, BLANKS, " "), F.lit(" "))
-    return F.when(bare != "", F.xxhash64(bare))
+def text_keys(text: Column) -> Column:
+    """What the lines of ``text_lines`` are compared by: outer blanks cut, inner ones folded; "" for blank lines."""
+    folded = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09\x0B-\x0D]+", " "), r" ?\n ?", "\n")
+    return F.split(F.btrim(folded, F.lit(" ")), "\n")
 
 
-def drop_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, fold: bool = False) -> DataFrame:
-    """``df`` with __host, __lines (what stays), __n_lines and __n_dropped.
+def boilerplate(rows: DataFrame, ratio: float, min_pages: int, fold: bool) -> DataFrame:
+    """(host, often): the boilerplate lines of each host that has some, from (host, keys) rows.
 
-    A null host is the host "". Blank lines are never boilerplate. A page with
-    the same line twice counts once for it and loses both. Repeated rows are
-    pages of their own, but with ``fold`` the pages of a host with the same
-    lines are counted as one, in a line's pages and in the host's; an empty
-    table gives an empty result; a page may lose all of its lines and stays,
-    empty. Other columns stay as they are.
+    Counted by the lines' hashes first, which leaves few lines. Those are then
+    counted by the lines themselves, as two lines could share a hash.
     """
-    df = df.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__lines", lines)
-    df = df.withColumn("__keys", F.transform("__lines", _key))
-    held = df.select("__host", F.array_distinct(F.filter("__keys", lambda x: x.isNotNull())).alias("lines"))
+    held = rows.select("host", F.array_distinct(F.filter("keys", lambda x: x != "")).alias("keys"))
+    hashed = held.withColumn("hashes", F.transform("keys", lambda x: F.xxhash64(x)))
     if fold:
         # the null line stands for the page itself, so that one pass counts both
-        once = held.withColumn("page", F.xxhash64("lines")).dropDuplicates(["__host", "page"])
-        lined = once.select("__host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "lines")).alias("line"))
-        counts = lined.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("on"))
-        counts = materialise(counts.where(F.col("line").isNull() | (F.col("on") >= min_pages)), "held")
-        pages, held = counts.where("line IS NULL").select("__host", F.col("on").alias("of")), counts.where("line IS NOT NULL")
+        once = hashed.select("host", "hashes").distinct()
+        lined = once.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("line"))
     else:
-        pages = df.groupBy("__host").agg(F.count(F.lit(1)).alias("of"))
-        held = held.select("__host", F.explode("lines").alias("line")).groupBy("__host", "line").agg(F.count(F.lit(1)).alias("on"))
+        lined = hashed.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("line"))
+    counts = lined.groupBy("host", "line").agg(F.count(F.lit(1)).alias("on"))
+    counts = materialise(counts.where(F.col("line").isNull() | (F.col("on") >= min_pages)), "held")
+    pages = counts.where("line IS NULL").select("host", F.col("on").alias("of"))
+
+    def often(df):
+        return df.where(F.col("on") >= min_pages).join(pages, "host").where(F.col("on") >= F.lit(ratio) * F.col("of"))
+
     # a host has at most (lines of a page / ratio) boilerplate lines, so the arrays stay short
-    often = held.where(F.col("on") >= min_pages).join(pages, "__host").where(F.col("on") >= F.lit(ratio) * F.col("of"))
-    sites = materialise(often.groupBy("__host").agg(F.collect_set("line").alias("__often")), "sites")
-    df = small_join(df, sites, "__host", "left")
+    likely = materialise(often(counts.where("line IS NOT NULL")).groupBy("host").agg(F.collect_set("line").alias("likely")), "likely")
+    df = small_join(hashed, likely, "host").withColumn("own", F.array_intersect("hashes", "likely")).where(F.size("own") > 0)
+    page = F.xxhash64("hashes") if fold else F.lit(0)
+    exact = df.select("host", page.alias("page"), F.explode(F.filter("keys", lambda x: F.array_contains(F.col("own"), F.xxhash64(x)))).alias("line"))
+    if fold:
+        exact = exact.distinct()
+    exact = often(exact.groupBy("host", "line").agg(F.count(F.lit(1)).alias("on")))
+    return materialise(exact.groupBy("host").agg(F.collect_set("line").alias("often")), "sites")
+
+
+def drop_boilerplate(rows: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, fold: bool = False) -> DataFrame:
+    """``rows`` (host, lines, keys and any others) with n_lines, n_dropped and, in ``lines``, what stays.
+
+    ``keys`` is what the lines are compared by, character by character. Lines
+    whose key is "" are never boilerplate. A page with the same line twice
+    counts once for it and loses both. Repeated rows are pages of their own, but
+    with ``fold`` the pages of a host with the same set of lines are counted as
+    one, in a line's pages and in the host's; an empty table gives an empty
+    result; a page may lose all of its lines and stays, empty. A page of any
+    length is one row, its lines an array: a page has to fit into a task a few
+    times over.
+    """
+    df = small_join(rows, boilerplate(rows, ratio, min_pages, fold), "host", "left")
     # only this page's own boilerplate is searched line by line
-    df = df.withColumn("__own", F.when(F.col("__often").isNotNull(), F.array_intersect("__keys", "__often")))
-    stays = F.when(F.col("__own").isNull() | (F.size("__own") == 0), F.col("__lines")).otherwise(
-        F.transform(F.filter(F.arrays_zip("__lines", "__keys"), lambda x: x["__keys"].isNull() | ~F.array_contains(F.col("__own"), x["__keys"])), lambda x: x["__lines"])
-    )
-    df = df.withColumn("__n_lines", F.size("__lines").cast("long")).withColumn("__lines", stays)
-    return df.withColumn("__n_dropped", F.col("__n_lines") - F.size("__lines")).drop("__keys", "__often", "__own")
+    df = df.withColumn("own", F.when(F.col("often").isNotNull(), F.array_intersect("keys", "often")))
+    stays = F.when(F.col("own").isNull() | (F.size("own") == 0), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains(F.col("own"), F.get("keys", i))))
+    df = df.withColumn("n_lines", F.size("lines").cast("long")).withColumn("lines", stays)
+    return df.withColumn("n_dropped", F.col("n_lines") - F.size("lines")).drop("keys", "often", "own")
 
 
 def clean_pages(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per page: page_id, host, n_lines, n_dropped, text (the lines that stay)."""
-    df = drop_boilerplate(pages.select("page_id", "url", "html"), host_of(F.col("url")), page_lines(F.col("html")), ratio, min_pages)
-    return df.select("page_id", F.col("__host").alias("host"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.array_join("__lines", "\n").alias("text"))
+    """One row per page: page_id, host, n_lines, n_dropped, text (the lines that stay).
+
+    Null or empty pages have no lines; a null or unreadable address is the host
+    "". Pages are parsed once, to the shared scratch folder. Further columns are
+    ignored, whatever their names.
+    """
+    parsed = materialise(pages.select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines")), "lines")
+    df = drop_boilerplate(parsed.withColumn("keys", F.col("lines")), ratio, min_pages)
+    return df.select("page_id", "host", "n_lines", "n_dropped", F.array_join("lines", "\n").alias("text"))
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", ratio: float = SOURCE_RATIO, min_pages: int = SOURCE_MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines of their source taken out of the text; n_chars, where there is one, follows.
 
     Equal texts of a source are one page: copies of a document, which a later
-    stage folds, do not make its lines boilerplate.
+    stage folds, do not make its lines boilerplate. Null and empty texts stay as
+    they are, a null source is the source "", columns of any name stay.
     """
-    df = drop_boilerplate(docs, F.col(source_col), text_lines(F.col(text_col)), ratio, min_pages, fold=True)
-    text = F.when(F.col("__n_dropped") > 0, F.array_join("__lines", "\n")).otherwise(F.col(text_col))
-    df = df.withColumn(text_col, text)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("host"), text_lines(F.col(text_col)).alias("lines"), text_keys(F.col(text_col)).alias("keys"))
+    df = drop_boilerplate(rows, ratio, min_pages, fold=True).withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("lines", "\n")))
+    new = {text_col: F.coalesce("text", F.col("row")[text_col])}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.char_length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.char_length("text").cast("long"), F.col("row")["n_chars"])
+    return df.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 SQL = rf"""
