@@ -4,7 +4,8 @@ White space always ends a word, so a text's ids are those of its
 white-space-separated chunks in turn. Each distinct chunk is encoded once per
 batch: chunks of plain letters, digits and signs go through one bulk call of a
 byte-pair encoder that holds the same merges; every other chunk (apostrophes,
-combining marks, other scripts) goes to the tokenizer itself.
+combining marks, other scripts) goes to the tokenizer itself. So do chunks that
+hold the string of a special token: a plain call reads it as that token.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, self.special = whole["model"], [t["content"] for t in whole["added_tokens"]]
+        if any(c.isspace() for t in self.special for c in t):
+            raise ValueError("a special token with white space would lie across chunks")
         vocab, suffix, byte = model["vocab"], model["end_of_word_suffix"], _byte_of_char()
 
         def key(token: str) -> bytes:
@@ -90,10 +93,12 @@ class WordBpe:
         words = pc.list_flatten(split).dictionary_encode()
         del split
         index, distinct = np.asarray(words.indices), words.dictionary.to_pylist()
-        if _ALL_PLAIN.fullmatch("\n".join(distinct)):
+        joined = "\n".join(distinct)
+        special = [t for t in self.special if t in joined]
+        if not special and _ALL_PLAIN.fullmatch(joined):
             flat, sizes = self._plain(distinct)
         else:
-            is_plain = np.array([bool(_PLAIN.fullmatch(w)) for w in distinct], dtype=bool)
+            is_plain = np.array([bool(_PLAIN.fullmatch(w)) and not any(t in w for t in special) for w in distinct], dtype=bool)
             flat, n = self._plain([w for w, p in zip(distinct, is_plain) if p])
             got = [e.ids for e in self.slow.encode_batch_fast([w for w, p in zip(distinct, is_plain) if not p], add_special_tokens=False)]
             flat = np.concatenate([flat, np.array([x for ids in got for x in ids], dtype=np.uint32)])
