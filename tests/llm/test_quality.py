@@ -3,11 +3,15 @@
 import math
 import random
 import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from meshwork.llm import license_scan as S
 from meshwork.llm import quality_classifier as C
@@ -71,6 +75,51 @@ def test_held_out_good_documents_are_kept_in_every_language(spark, sf_dir):
     assert len(of) == 4 and all(10 * gone[x] <= of[x] for x in of), (gone, of)
 
 
+def test_unseen_good_documents_are_judged_as_the_trusted_ones(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    kept = {}
+    for r in Q.quality(docs, labels.where("doc_id % 2 = 0")).collect():
+        if r["doc_id"] in quality and not r["base_failed"]:
+            kept.setdefault((r["doc_id"] % 2 == 0, quality[r["doc_id"]]), []).append(r["kept"])
+    share = {k: sum(v) / len(v) for k, v in kept.items()}
+    assert abs(share[True, 1] - share[False, 1]) < 0.05 and min(share[True, 1], share[False, 1]) > 0.9, share
+    assert max(share.get((True, 0), 0), share[False, 0]) < 0.2, share
+
+
+def test_score_against_brute_force(spark):
+    """The mean log ratio of each text, by counts that its own fold has no part in."""
+    rng = random.Random(21)
+    vocabulary = [prose(rng, 1) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary[: 100 + 200 * (i % 2)]) for _ in range(rng.randint(0, 120))) for i in range(60)] + [None]
+    labels = [(i, 1) for i in range(0, 60, 2)] + [(1, 0), (3, 0)]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    word = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    pair = lambda a, b: signed(xxhash.xxh64_intdigest(struct.pack("<q", b), xxhash.xxh64_intdigest(struct.pack("<q", a), 42)))
+    grams, fold = [], []
+    for i, t in enumerate(texts):
+        h = [word(w) for w in (t or "").split()]
+        grams.append([x % Q.BUCKETS for x in h + [pair(a, b) for a, b in zip(h, h[1:])]])
+        fold.append(word(str(i)) % Q.FOLDS)
+    good = {i for i, y in labels if y == 1}
+    got = {r["doc_id"]: r for r in Q.quality(docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    for i in range(len(texts)):
+        others = [j for j in range(len(texts)) if fold[j] != fold[i]]
+        raw, trusted = Counter(x for j in others for x in grams[j]), Counter(x for j in others if j in good for x in grams[j])
+        ratios = Q.log_ratios(trusted, raw)  # one language: its weight is 1
+        want = sum(ratios[x] for x in grams[i]) / len(grams[i]) if grams[i] else 0.0
+        assert math.isclose(got[i]["llr"], want, abs_tol=1e-8)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and want >= Q.THRESHOLD)
+
+
+def test_quality_with_columns_of_any_name(spark):
+    docs = docs_of(spark, ["a b", None]).withColumns({c: F.lit(1) for c in ("row", "fold", "words", "h", "win", "lines", "base", "verdict", "llr", "failed", "at", "pass", "good")})
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    assert Q.keep_good(docs, labels).columns == docs.columns and Q.keep_good(docs, labels).count() == 0
+    assert Q.quality(docs, labels).count() == 2
+
+
 def test_languages_without_trusted_texts_are_not_judged_by_it():
     rows = [{"lang": 1, "bucket": b, "n": 100_000, "good": 50_000} for b in range(50)] + [{"lang": 2, "bucket": b, "n": 100_000, "good": 0} for b in range(50, 60)]
     got = Q.log_ratios(*Q.by_language(rows))
@@ -186,6 +235,67 @@ def test_one_word_in_or_out_keeps_the_label(spark):
     assert [sum(s["label"] == "gpl-notice" for s in r["spans"]) for r in spans] == [2, 2]
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_common_length():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0 if side else 1, 90))] for side in (0, 1))
+        assert S.common_length(a, b) == longest_common(a, b)
+
+
+@pytest.mark.parametrize("edit", ["insert", "delete", "swap"])
+def test_edited_notices_against_an_aligner(spark, edit):
+    """Every notice with up to ten words changed, together at several places and scattered."""
+    rng = random.Random(3)
+    texts, want = [], []
+    for label in (x for x in S.TEMPLATES if x.endswith("-notice")):
+        w = S._split(S.TEMPLATES[label])
+        for n in range(1, 11):
+            together = [range(a, a + n) for a in (8, len(w) // 3, len(w) // 2, 2 * len(w) // 3)]
+            for places in [*together, sorted(rng.sample(range(1, len(w) - 1), n))]:
+                v = list(w)
+                for i in reversed(places):
+                    if edit == "insert":
+                        v.insert(places[0] if places in together else i, f"zz{rng.randrange(99)}")
+                    elif edit == "delete":
+                        del v[i]
+                    else:
+                        v[i] = f"zz{rng.randrange(99)}"
+                texts.append(f"{prose(rng, 30)} {' '.join(v)} {prose(rng, 30)}")
+                want.append((label, longest_common(w, v) / len(w)))
+    rows = S.scan(docs_of(spark, texts)).collect()
+    for r in rows:
+        label, share = want[r["doc_id"]]
+        words = S._split(texts[r["doc_id"]])
+        best = max([s["coverage"] for s in r["spans"] if s["label"] == label], default=0)
+        assert best <= share + 1e-9
+        for s in r["spans"]:
+            t = S._split(S.TEMPLATES[s["label"]])
+            assert math.isclose(s["coverage"], longest_common(t, words[s["start"] : s["end"]]) / len(t))
+        # an edit may cost the words of broken grams at the notice's ends, no more
+        if share >= S.COVERAGE + 8 / len(S._split(S.TEMPLATES[label])):
+            assert label in r["labels"].split(","), (label, edit, share, best)
+
+
+def test_licences_without_ids_and_of_kelvin_signs(spark):
+    notice = S.TEMPLATES["gpl-notice"]
+    docs = spark.createDataFrame([(None, notice), (None, "mit license"), (3, "Released under the MIT license. this wor\u212a is")], "doc_id long, text string")
+    rows = sorted((r["labels"], r["score"]) for r in S.scan(docs).collect())
+    assert rows == [("gpl,gpl-notice", 1.0), ("mit", 1.0), ("mit,mit-released", 1.0)]
+    counted = S.scan(spark.createDataFrame([(1, "wor\u212a İk É")], "doc_id long, text string")).first()
+    assert counted["n_words"] == 3
+    assert spark.createDataFrame([("\u212a",)], "t string").select(S.ascii_lower(F.col("t"))).first()[0] != "k"
+
+
 # co-training
 
 
