@@ -1,5 +1,7 @@
 """Delta log, store, transactions, properties, streaming."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,9 @@ from meshwork.graph import from_edges, from_map
 from meshwork.operators import deltas as D
 from meshwork.plans.manifest import ConflictError
 from meshwork.plans.properties import PropertyStore
-from meshwork.plans.store import GraphStore
+from meshwork.plans import store as S
+from meshwork.plans.small import MutableGraph, SmallGraph
+from meshwork.plans.store import READERS, GraphStore
 from meshwork.streaming import ingest
 
 
@@ -32,6 +36,8 @@ def test_compaction_keeps_what_is_read_and_reopening_too(store, spark):
     assert {v: again.neighbors(v) for v in range(8)} == before
     ts = again.latest_commit
     again.compact(watermark=ts)
+    with pytest.raises(ValueError, match="gone"):
+        again.neighbors(0, ts - 2)
     assert again.deltas().count() == 1 and {v: again.neighbors(v) for v in range(8)} == before
     again.compact(), again.compact()
     assert again.deltas().count() == 0 and {v: again.base_neighbors(v) for v in range(8)} == before
@@ -88,6 +94,99 @@ def test_serializable_conflict(store):
     assert store.neighbors(0) == [1, 2, 4] and store.neighbors(5) == [6, 7]
 
 
+def test_a_transaction_reads_the_same_after_compaction(store):
+    t = store.begin()
+    assert t.neighbors(0) == [1, 2]
+    store.delete_edge(0, 1), store.insert_edge(0, 5)
+    store.compact(), store.compact(watermark=99)
+    store.vacuum()
+    assert t.neighbors(0) == [1, 2] and sorted(map(tuple, t.snapshot().edges.where("src = 0").collect())) == [(0, 1), (0, 2)]
+    assert store.neighbors(0) == [2, 5]
+    t.abort()
+    store.vacuum()
+    assert store.manifest.versions() == [store.version]
+
+
+def test_watermark_defers_what_an_open_transaction_does_not_see(store):
+    with store.begin() as early:
+        early.insert_edge(3, 5)
+    store.insert_edge(4, 6)
+    reader = store.begin()
+    assert reader.neighbors(3) == [4, 5] and store.watermark() == reader.read_ts
+    store.insert_edge(3, 7)
+    store.compact()
+    assert store.base_neighbors(3) == [4, 5] and store.deltas().where("src = 3").count() == 1
+    assert reader.neighbors(3) == [4, 5] and store.begin().neighbors(3) == [4, 5, 7]
+    reader.abort()
+    assert READERS.snapshots(store.manifest.root) == 1  # the reader begun in between
+
+
+def test_merged_after_the_oldest_reader_ended(store):
+    reader = store.begin()
+    store.insert_edge(3, 7)
+    store.compact()
+    assert store.base_neighbors(3) == [4]
+    reader.abort(), store.insert_edge(6, 7), store.compact()
+    assert store.base_neighbors(3) == [4, 7] and store.deltas().count() == 0
+
+
+def test_staged_bases_are_read_after_their_publication(spark, tmp_path):
+    store = GraphStore.create(from_map(spark, {0: [1], 1: [0], 2: []}), str(tmp_path / "s"))
+    store.insert_edge(0, 2)
+    store.compact(publish=False)
+    assert store.pending() == 1 and store.base_neighbors(0) == [1] and store.neighbors(0) == [1, 2]
+    store.insert_edge(1, 2), store.delete_edge(0, 1)
+    store.publish_pending()
+    assert store.pending() == 0 and store.base_neighbors(0) == [1, 2] and store.base_neighbors(1) == [0]
+    assert store.neighbors(0) == [2] and store.neighbors(1) == [0, 2] and store.deltas().count() == 2
+    store.compact()
+    assert store.base_neighbors(0) == [2] and store.deltas().count() == 0
+
+
+def test_a_writer_that_died_blocks_nobody(store, monkeypatch):
+    """It wrote its manifest aside, and perhaps its parts, and got no further."""
+    monkeypatch.setattr(type(store.manifest), "_publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        store.insert_edge(0, 3)
+    monkeypatch.undo()
+    began = time.perf_counter()
+    assert store.neighbors(0) == [1, 2] and store.insert_edge(0, 4) and store.neighbors(0) == [1, 2, 4]
+    assert time.perf_counter() - began < 15
+
+
+def test_many_commits_leave_short_logs(store, spark, monkeypatch):
+    monkeypatch.setattr(S, "TIER_PARTS", 3)
+    monkeypatch.setattr(S, "KEPT_WRITES", 4)
+    staged = GraphStore.open(spark, store.manifest.root)
+    staged.compact(publish=False)
+    late = store.begin(serializable=True)
+    late.neighbors(0)
+    for i in range(10):
+        assert store.insert_edge(0, 3 + i % 5) if i % 3 else store.delete_edge(0, 3 + i % 5)
+    state = store.manifest.read()
+    assert len(state["deltas"]) <= 5 and len(state["writes"]) == 4 and store.deltas().count() == 10
+    want = store.neighbors(0)
+    staged.publish_pending()
+    assert store.neighbors(0) == want
+    late.insert_edge(1, 2)
+    with pytest.raises(ConflictError):
+        late.commit()
+    store.compact()
+    assert store.base_neighbors(0) == want
+
+
+def test_a_vertex_costs_a_record(store, spark):
+    before = store.manifest.read()
+    assert store.delete_vertex(0, remove_neighbors=True)
+    after = store.manifest.read()
+    assert after["version"] == before["version"] + 1 and after["vertices"] == before["vertices"]
+    assert store.neighbors(1) == [] and store.vertices().where("deleted").count() == 1
+    store.insert_vertices(spark.createDataFrame([(9, [1, 2]), (8, [])], "id long, neighbors array<long>"))
+    assert store.neighbors(9) == [1, 2] and store.vertices().count() == 10 and store.manifest.read()["top_id"] == 9
+    store.compact()
+    assert store.manifest.read()["vertex_log"] == [] and store.vertices().where("deleted").count() == 1 and store.neighbors(9) == [1, 2]
+
+
 def test_only_one_writer_makes_a_version(store):
     state = store.manifest.read()
     store.manifest.commit(state | {"version": 1})
@@ -144,3 +243,31 @@ def test_stream(spark, store, tmp_path):
     rates = ingest.write_rates(ingest.read_events(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     rates.awaitTermination()
     assert sorted(r["writes"] for r in spark.sql("SELECT * FROM rates").collect()) == [1, 6]
+
+
+def test_mutable_graph(spark):
+    g = MutableGraph({0: [1, 2], 5: []})
+    assert g.vertices() == [0, 1, 2, 5] and g.edge_count() == 2 and not g.add_vertex(5) and g.add_vertex(7)
+    assert g.add_edge(7, 7) and not g.add_edge(7, 7) and g.add_edge(1, 0) and g.neighbors(7) == [7]
+    assert g.remove_edge(0, 2) and not g.remove_edge(0, 2) and not g.remove_edge(99, 0)
+    assert g.remove_vertex(0) and not g.remove_vertex(0) and not g.has_edge(1, 0) and g.neighbors(1) == [] and g.has_vertex(1)
+    assert g.remove_vertex(7) and g.edge_count() == 0 and not g.has_vertex(7)
+    g.add_edge(1, 2)
+    whole = g.to_graph(spark)
+    assert sorted(r[0] for r in whole.vertices.select("id").collect()) == [1, 2, 5] and whole.edges.collect() == [(1, 2)]
+    g.clear()
+    assert g.vertex_count() == 0 and g.neighbors(1) == []
+
+
+def test_small_graph():
+    g = SmallGraph()
+    a, b, c = g.insert_vertex(), g.insert_vertex(), g.insert_vertex()
+    bare = g.memory_usage()
+    assert (a, b, c) == (0, 1, 2) and g.insert_edge(a, c) and g.insert_edge(a, b) and not g.insert_edge(a, b) and not g.insert_edge(a, 99)
+    assert g.neighbors(a) == [1, 2] and g.edge_count() == 2 and g.memory_usage() > bare
+    shot = g.snapshot()
+    assert shot.neighbors == [[1, 2], [], []] and shot.edge_count == 2 and shot.memory_usage == g.memory_usage() and shot.deleted == [False] * 3
+    assert g.delete_edge(a, b) and not g.delete_edge(a, b) and g.insert_edge(c, a)
+    assert g.delete_vertex(a) and not g.delete_vertex(a) and not g.has_edge(c, a) and g.edge_count() == 0
+    assert g.insert_vertex() == 3 and g.live_vertex_count() == 3 and g.vertex_id_bound() == 4 and g.snapshot().deleted == [True, False, False, False]
+    assert shot.neighbors[0] == [1, 2] and not g.insert_edge(a, b)
