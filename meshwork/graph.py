@@ -22,8 +22,11 @@ GIANT_DEGREE = 128
 
 @dataclass(frozen=True)
 class Graph:
+    """``symmetric`` is set where every edge is known to be stored both ways, which searches can rely on."""
+
     vertices: DataFrame
     edges: DataFrame
+    symmetric: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -67,7 +70,7 @@ def from_edges(edges: DataFrame, isolated: DataFrame | None = None, undirected:
         ids = ids.union(e.select("dst"))
     if isolated is not None:
         ids = ids.union(isolated.select(F.col("id").cast("long")))
-    return Graph(vertex_rows(ids.distinct()), e)
+    return Graph(vertex_rows(ids.distinct()), e, undirected)
 
 
 def from_map(spark: SparkSession, adjacency: dict[int, list[int]], communities: dict[int, int] | None = None) -> Graph:
@@ -85,3 +88,9 @@ def from_csr(spark: SparkSession, offsets: list[int], neighbors: list[int], comm
     lists = spark.createDataFrame(rows, "src long, list array<long>")
     ids = spark.createDataFrame([(i, communities[i] if communities else i) for i in range(len(rows))], "id long, c long")
     return Graph(vertex_rows(ids, F.col("c")), lists.select("src", F.explode("list").alias("dst")))
+
+
+def list_rows(spark: SparkSession, adjacency: dict[int, list[int]]) -> DataFrame:
+    """(id, pos, neighbors) of an adjacency map with any ids: rows by id, neighbours in the order in which they are given."""
+    rows = [(v, i, list(adjacency[v])) for i, v in enumerate(sorted(adjacency))]
+    return spark.createDataFrame(rows, "id long, pos long, neighbors array<long>")

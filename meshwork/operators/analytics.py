@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
 from meshwork.operators.components import connected_components
 from meshwork.operators.topology import degree
-from meshwork.runtime import materialise
-
-#: Rounds between two writings of the state in loops with a fixed number of rounds.
-WRITE_EVERY = 5
+from meshwork.runtime import bucketed, discard, materialise
 
 
 def wcc(graph: Graph) -> DataFrame:
@@ -27,18 +24,19 @@ def wcc_ordinal(graph: Graph) -> DataFrame:
     labels = materialise(wcc(graph), "labels")
     # only the roots are ranked, one row a component
     roots = materialise(labels.where("id = label").select("label"), "roots")
-    numbers = rank_rows(roots, "label", ["label"], "ordinal")
+    numbers = rank_rows(roots, ["label"], "ordinal")
     return labels.join(numbers, "label").select("id", F.col("ordinal").alias("label"))
 
 
 def wcc_scan(graph: Graph, rounds: int) -> DataFrame:
     """(id, label): the smallest id within ``rounds`` hops, which is the component's once converged."""
-    state = graph.vertices.select("id", F.col("id").alias("label"))
-    for i in range(rounds):
-        offers = graph.edges.join(state.select(F.col("id").alias("src"), "label"), "src").groupBy("dst").agg(F.min("label").alias("offer"))
-        state = state.join(offers, F.col("id") == F.col("dst"), "left").select("id", F.least("label", "offer").alias("label"))
-        if (i + 1) % WRITE_EVERY == 0:
-            state = materialise(state, "labels")
+    edges = bucketed(graph.edges.select("src", "dst"), "src", "edges")
+    state = bucketed(graph.vertices.select("id", F.col("id").alias("label")), "id", "labels")
+    for _ in range(rounds):
+        offers = edges.join(state, edges["src"] == state["id"]).groupBy("dst").agg(F.min("label").alias("offer"))
+        last, state = state, bucketed(state.join(offers, F.col("id") == F.col("dst"), "left").select("id", F.least("label", "offer").alias("label")), "id", "labels", dealt=True)
+        discard(last)
+    discard(edges)
     return state
 
 
@@ -47,48 +45,42 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 
 def _ranked_edges(graph: Graph) -> DataFrame:
-    """Edges with 1 / degree of their source: written once, clustered by source for all rounds."""
+    """Edges with the degree of their source, in buckets of the source: no round shuffles them."""
     d = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    return graph.edges.join(d, "src").select("src", "dst", "d")
+    return bucketed(graph.edges.join(d, "src").select("src", "dst", "d"), "src", "weighted")
 
 
-def _round(graph: Graph, weighted: DataFrame, state: DataFrame, share) -> DataFrame:
-    """Sum of what the neighbours give: (id, rank, degree, given)."""
+def _round(weighted: DataFrame, state: DataFrame, share) -> DataFrame:
+    """Sum of what the neighbours give: (id, rank, degree, given). Only the partial sums are shuffled."""
     given = weighted.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(share).alias("given"))
     return state.join(given, F.col("id") == F.col("dst"), "left").withColumn("given", F.coalesce("given", F.lit(0.0))).drop("dst")
 
 
 def _pagerank(graph: Graph, iterations: int, damping: float, epsilon: float | None, dangling: bool) -> DataFrame:
+    """The state, a row a vertex, is written each round; the edges are written once."""
     n = graph.vertices.count()
     if not n:
         return graph.vertices.select("id", F.lit(0.0).alias("rank"))
-    weighted = materialise(_ranked_edges(graph), "weighted")
-    state = materialise(degree(graph).select("id", "degree", F.lit(1.0 / n).alias("rank")), "ranks")
-    base = (1 - damping) / n
-    for i in range(iterations):
-        moved = _round(graph, weighted, state, F.col("rank") / F.col("d"))
-        lost = F.lit(0.0)
-        if dangling:
-            # a single row: the rank that isolated vertices hold
-            one = state.agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0)).alias("lost"))
-            moved = moved.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one")
-            lost = F.col("lost")
-        fresh = F.lit(base) + F.lit(damping) * F.col("given") + F.lit(damping) * lost / F.lit(float(n))
-        nxt = moved.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved"))
-        if epsilon is None:
-            state = nxt.drop("moved")
-            if (i + 1) % WRITE_EVERY == 0 and i + 1 < iterations:
-                state = materialise(state, "ranks")
-        else:
-            nxt = materialise(nxt, "ranks")
-            state = nxt.drop("moved")
-            if nxt.agg(F.sum("moved")).first()[0] < epsilon:
-                break
+    weighted = _ranked_edges(graph)
+    state = bucketed(degree(graph).select("id", "degree", F.lit(1.0 / n).alias("rank")), "id", "ranks")
+    isolated = state.where("degree = 0").count() if dangling else 0
+    base, held = (1 - damping) / n, 1.0 / n
+    for _ in range(iterations):
+        # isolated vertices are given nothing, so all of them hold the same
+        lost = isolated * held
+        held = base + damping * lost / n
+        fresh = F.lit(base + damping * lost / n) + F.lit(damping) * F.col("given")
+        moved = _round(weighted, state, F.col("rank") / F.col("d"))
+        last, state = state, bucketed(moved.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "id", "ranks", dealt=True)
+        discard(last)
+        if epsilon is not None and state.agg(F.sum("moved")).first()[0] < epsilon:
+            break
+    discard(weighted)
     return state.select("id", "rank")
 
 
 def pagerank_map(graph: Graph, iterations: int = 20, damping: float = 0.85, epsilon: float | None = 1e-6) -> DataFrame:
-    """(id, rank) without redistribution of what isolated vertices hold. No epsilon: a fixed number of rounds, in one plan."""
+    """(id, rank) without redistribution of what isolated vertices hold. No epsilon: a fixed number of rounds."""
     return _pagerank(graph, iterations, damping, epsilon, False)
 
 
@@ -104,21 +96,17 @@ def pagerank_scan(graph: Graph, iterations: int = 20, damping: float = 0.85, eps
     undivided; stopping early by ``epsilon`` returns the divided values.
     Isolated vertices stay at 0 until the last round.
     """
-    weighted = materialise(_ranked_edges(graph), "weighted")
-    state = degree(graph).select("id", "degree", F.when(F.col("degree") > 0, 1.0 / F.col("degree")).otherwise(0.0).alias("rank"))
-    state = materialise(state, "ranks")
+    weighted = _ranked_edges(graph)
+    state = bucketed(degree(graph).select("id", "degree", F.when(F.col("degree") > 0, 1.0 / F.col("degree")).otherwise(0.0).alias("rank")), "id", "ranks")
     for i in range(iterations):
-        moved = _round(graph, weighted, state, F.col("rank"))
         full = F.lit(1 - damping) + F.lit(damping) * F.col("given")
         fresh = full if i == iterations - 1 else F.when(F.col("degree") > 0, full / F.col("degree")).otherwise(F.col("rank"))
-        nxt = moved.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved"))
-        if epsilon is not None:
-            nxt = materialise(nxt, "ranks")
-            if nxt.agg(F.sum("moved")).first()[0] < epsilon:
-                return nxt.select("id", "rank")
-        elif (i + 1) % WRITE_EVERY == 0 and i + 1 < iterations:
-            nxt = materialise(nxt, "ranks")
-        state = nxt.drop("moved")
+        moved = _round(weighted, state, F.col("rank"))
+        last, state = state, bucketed(moved.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "id", "ranks", dealt=True)
+        discard(last)
+        if epsilon is not None and state.agg(F.sum("moved")).first()[0] < epsilon:
+            break
+    discard(weighted)
     return state.select("id", "rank")
 
 
@@ -134,22 +122,15 @@ def most_frequent(votes: DataFrame, key: str, label: str) -> DataFrame:
 
 def cdlp(graph: Graph, iterations: int = 20, until_stable: bool = False) -> DataFrame:
     """(id, label): synchronous majority label propagation, ties to the smallest label; isolated vertices keep their id."""
-    state = graph.vertices.select("id", F.col("id").alias("label"))
-    for i in range(iterations):
-        votes = graph.edges.join(state.select(F.col("id").alias("src"), "label"), "src").select("dst", "label")
+    edges = bucketed(graph.edges.select("src", "dst"), "src", "edges")
+    state = bucketed(graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")), "id", "labels")
+    for _ in range(iterations):
+        votes = edges.join(state.select(F.col("id").alias("src"), "label"), "src").select("dst", "label")
         won = most_frequent(votes, "dst", "label").withColumnRenamed("label", "won")
         nxt = state.join(won, F.col("id") == F.col("dst"), "left").select("id", F.coalesce("won", "label").alias("label"), (F.coalesce("won", "label") != F.col("label")).alias("moved"))
-        if until_stable:
-            nxt = materialise(nxt, "labels")
-            if nxt.where("moved").isEmpty():
-                return nxt.select("id", "label")
-        elif (i + 1) % 2 == 0 and i + 1 < iterations:
-            nxt = materialise(nxt, "labels")
-        state = nxt.drop("moved")
-    return state
-
-
-def rank_of_components(labels: DataFrame) -> DataFrame:
-    """Components by size, largest first."""
-    sizes = component_sizes(labels)
-    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("size").desc(), "label")))
+        last, state = state, bucketed(nxt, "id", "labels", dealt=True)
+        discard(last)
+        if until_stable and state.where("moved").isEmpty():
+            break
+    discard(edges)
+    return state.select("id", "label")

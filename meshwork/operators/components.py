@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.runtime import materialise, ship
+from meshwork.runtime import discard, materialise, ship
 
 #: Edges that one union-find forest takes before it is written out and begun anew.
 FOREST_EDGES = 2_000_000
@@ -81,7 +81,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialise(pairs.mapInArrow(_forest, "src long, dst long").distinct(), "forest")
     mark = None
     for _ in range(max_rounds):
-        now = materialise(_star(_star(now, True), False), "stars")
+        last, now = now, materialise(_star(_star(now, True), False), "stars")
+        discard(last)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

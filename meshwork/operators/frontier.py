@@ -9,13 +9,11 @@ messages of a vertex, and a condition on the target's state.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
-from meshwork.operators.topology import id_rows
+from meshwork.operators.ordering import running
 
 
 class VertexSubset:
@@ -85,23 +83,15 @@ def vertex_filter(frontier: VertexSubset, state: DataFrame, cond: Column) -> Ver
     return VertexSubset(frontier.rows.join(state.where(cond).select("id"), "id", "left_semi"), frontier.has_data)
 
 
-def prefix_scan(df: DataFrame, order: str, value: str, parts: int = 1024) -> DataFrame:
-    """``df`` with ``prefix`` (sum before the row) and the whole in ``total``; ``order`` is a whole number without repeats.
+def prefix_scan(df: DataFrame, order: str, value: str) -> DataFrame:
+    """``df`` with ``prefix`` (sum before the row in the order of ``order``) and the whole in ``total``.
 
-    Two passes: rows are dealt out by ranges of the order, each range is summed
-    up on its own, and the sums of the ranges before it, one row a range, are
-    added. No task sees more than a range.
+    Two passes over ranges of about equal row counts, wherever the values of
+    ``order`` lie: each range is summed up on its own, and the sums of the ranges
+    before it, one row a range, are added.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.select("*", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("total"))
-    width = max(1, -(-(high - low + 1) // parts))
-    cut = df.withColumn("__part", F.expr(f"({order} - {low}) div {width}"))
-    sums = cut.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"), F.sum("__sum").over(Window.partitionBy()).alias("total"))
-    inner = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(offsets, "__part").withColumn("prefix", F.col("__before") + F.col("__in")).drop("__part", "__before", "__in")
+    total = df.agg(F.coalesce(F.sum(value), F.lit(0))).first()[0]
+    return running(df, [order], value, "prefix").withColumn("total", F.lit(total).cast("long"))
 
 
 def reduce_rows(df: DataFrame, value: Column) -> DataFrame:
@@ -111,16 +101,3 @@ def reduce_rows(df: DataFrame, value: Column) -> DataFrame:
 def pack(df: DataFrame, keep: Column) -> DataFrame:
     """The rows that meet a condition."""
     return df.where(keep)
-
-
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, write, every: int = 5) -> DataFrame:
-    """Apply ``step`` so many times; the state is written every few rounds, which cuts the plan."""
-    for i in range(rounds):
-        state = step(state, i)
-        if (i + 1) % every == 0 and i + 1 < rounds:
-            state = write(state)
-    return state
-
-
-def frontier_of(graph: Graph, ids) -> VertexSubset:
-    return VertexSubset(id_rows(graph, ids))

@@ -12,44 +12,49 @@ from meshwork.runtime import materialise
 
 
 def sample_bfs(graph: Graph, start: int, n: int) -> Graph:
-    """The subgraph on the first n vertices that a queue visits from ``start``."""
-    order = bfs_visit_order(graph, start, max_levels=n + 1).where(F.col("visit_order") < n).select("id")
-    ids = materialise(order, "sample")
-    return Graph(graph.vertices.join(ids, "id", "left_semi"), induced_edges(graph.edges, ids))
+    """The subgraph on the first n vertices that a queue visits from ``start``; the search ends with the level in which they are reached."""
+    ids = materialise(bfs_visit_order(graph, start, limit=n).where(F.col("visit_order") < n).select("id"), "sample")
+    return Graph(graph.vertices.join(ids, "id", "left_semi"), induced_edges(graph.edges, ids), graph.symmetric)
 
 
 def sample_random_walk(graph: Graph, start: int, n: int = 200, seed: int = 42, restart: float = 0.15, walkers: int = 32, max_steps: int = 400) -> DataFrame:
-    """Walked edges (step, walker, src, dst) until about n distinct vertices were seen.
+    """Walked edges (step, walker, src, dst), in the order of step and walker, until ``n`` distinct vertices were seen.
 
     Many walkers go at once: a superstep joins their places with the edges and
     each takes the neighbour of smallest seeded hash. With probability
-    ``restart`` a walker goes back to the start instead. At most ``max_steps``
-    supersteps, so a component with fewer vertices ends the walk.
+    ``restart`` a walker goes on from a vertex seen before, picked by a hash of
+    seed, step and walker, instead of from where it is. The walk is cut right
+    after the move that brings the n-th vertex, so it never has more. At most
+    ``max_steps`` supersteps, and it ends early where 20 bring nothing new, so a
+    component with fewer vertices ends the walk. What has been seen, ``n``
+    vertices at most, is known to the driver.
     """
     spark = graph.spark
-    at = spark.range(walkers).select(F.col("id").alias("walker"), F.lit(start).cast("long").alias("src"))
-    walked: list[str] = []
-    seen, schema, stale = 1, None, 0
+    places = dict.fromkeys(range(walkers), start)
+    seen, walked, stale = {start: None}, [], 0
     for step in range(max_steps):
+        at = spark.createDataFrame(sorted(places.items()), "walker long, src long")
         pick = F.xxhash64(F.lit(seed), F.lit(step), "walker", "dst")
         moves = at.join(graph.edges, "src").groupBy("walker", "src").agg(F.min_by("dst", pick).alias("dst"))
-        moves = materialise(moves.select(F.lit(step).alias("step"), "walker", "src", "dst"), "walk")
-        schema = moves.schema
-        walked += moves.inputFiles()
-        if not walked:
+        turn = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(step), "walker"), F.lit(10_000))
+        place = F.xxhash64(F.lit(seed + 2), F.lit(step), "walker")
+        rows = moves.select("walker", "src", "dst", turn.alias("turn"), place.alias("place")).orderBy("walker").collect()
+        before = len(seen)
+        for r in rows:
+            walked.append((step, r["walker"], r["src"], r["dst"]))
+            seen.setdefault(r["dst"])
+            if len(seen) >= n:
+                break
+        stale = stale + 1 if len(seen) == before else 0
+        if len(seen) >= n or stale >= 20 or not rows:
             break
-        back = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(step), "walker"), F.lit(10_000)) < int(restart * 10_000)
-        at = moves.select("walker", F.when(back, F.lit(start).cast("long")).otherwise(F.col("dst")).alias("src"))
-        so_far = spark.read.schema(schema).parquet(*walked)
-        now = so_far.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count()
-        stale = stale + 1 if now == seen else 0
-        seen = now
-        if seen >= n or stale >= 20:
-            break
-    return spark.read.schema(schema).parquet(*walked) if walked else spark.createDataFrame([], "step int, walker long, src long, dst long")
+        known = list(seen)
+        for r in rows:
+            places[r["walker"]] = known[r["place"] % len(known)] if r["turn"] < restart * 10_000 else r["dst"]
+    return spark.createDataFrame(walked, "step int, walker long, src long, dst long")
 
 
 def sample_block(graph: Graph, blocks: DataFrame, start: int) -> Graph:
     """The subgraph on the start's block. ``blocks``: (id, block)."""
     mine = blocks.join(blocks.where(F.col("id") == start).select("block"), "block", "left_semi").select("id")
-    return Graph(graph.vertices.join(mine, "id", "left_semi"), induced_edges(graph.edges, mine))
+    return Graph(graph.vertices.join(mine, "id", "left_semi"), induced_edges(graph.edges, mine), graph.symmetric)

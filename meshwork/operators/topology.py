@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.graph import GIANT_DEGREE, Graph
-from meshwork.runtime import materialise
 
 
 def id_rows(graph: Graph, ids) -> DataFrame:
@@ -98,7 +97,7 @@ def induced_subgraph(graph: Graph, ids, check: bool = True) -> Graph:
     s = id_rows(graph, ids)
     if check:
         s = _checked(graph, s)
-    return Graph(graph.vertices.join(s, "id", "left_semi"), induced_edges(graph.edges, s))
+    return Graph(graph.vertices.join(s, "id", "left_semi"), induced_edges(graph.edges, s), graph.symmetric)
 
 
 def induced_map(graph: Graph, ids, pruning: bool = False) -> DataFrame:
@@ -109,7 +108,7 @@ def induced_map(graph: Graph, ids, pruning: bool = False) -> DataFrame:
 
 def community_subgraph(graph: Graph, community: int) -> Graph:
     members = community_members(graph, community)
-    return Graph(graph.vertices.where(F.col("community") == community), induced_edges(graph.edges, members))
+    return Graph(graph.vertices.where(F.col("community") == community), induced_edges(graph.edges, members), graph.symmetric)
 
 
 def within_communities(graph: Graph) -> DataFrame:
@@ -126,25 +125,6 @@ def block_adjacency(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     return b.where("src_block <> dst_block").select("src_block", "dst_block").distinct()
 
 
-def block_tree(graph: Graph, blocks: DataFrame, fanout: int = 8, max_levels: int = 32) -> DataFrame:
-    """Coarser and coarser quotient graphs up to one root: (level, block, parent).
-
-    At each level blocks are put under parents of ``fanout`` by their order, and
-    the quotient graph of the parents is formed from that of the blocks.
-    """
-    ids = materialise(blocks.select("block").distinct(), "blocks")
-    out, level, n = None, 0, ids.count()
-    while n > 1 and level < max_levels:
-        # dense block numbers keep siblings together, so the parent is a division
-        parents = ids.select("block", F.floor(F.col("block") / fanout).cast("long").alias("parent"))
-        rows = parents.select(F.lit(level).alias("level"), "block", "parent")
-        out = rows if out is None else out.union(rows)
-        ids = materialise(parents.select(F.col("parent").alias("block")).distinct(), "blocks")
-        n, level = ids.count(), level + 1
-    root = ids.select(F.lit(level).alias("level"), "block", F.lit(None).cast("long").alias("parent"))
-    return root if out is None else out.union(root)
-
-
 def export_tree_json(tree: DataFrame, path: str) -> None:
     """Write the block tree as JSON lines."""
     kids = tree.where("parent IS NOT NULL").groupBy((F.col("level") + 1).alias("level"), F.col("parent").alias("block")).agg(F.sort_array(F.collect_list("block")).alias("children"))
@@ -180,6 +160,6 @@ def edge_scan(graph: Graph, value: Column, active: DataFrame | None = None) -> D
 
 def warm_up(graph: Graph) -> Graph:
     """Keep the graph in the executors' memory; what is lost is read again."""
-    g = Graph(graph.vertices.persist(), graph.edges.persist())
+    g = Graph(graph.vertices.persist(), graph.edges.persist(), graph.symmetric)
     g.vertices.count(), g.edges.count()
     return g

@@ -91,10 +91,30 @@ def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
 def discard(*tables: DataFrame | None) -> None:
     """Delete materialised tables that nothing reads any more; others are left alone."""
     for df in tables:
-        path = getattr(df, "_meshwork_path", None)
+        path, name = getattr(df, "_meshwork_path", None), getattr(df, "_meshwork_name", None)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             _delete(df.sparkSession, path)
-            df._meshwork_path = None
+            df._meshwork_path = df._meshwork_name = None
+
+
+def bucketed(df: DataFrame, key: str, tag: str = "b", dealt: bool = False) -> DataFrame:
+    """Like ``materialise``, in as many buckets of ``key`` as the session has shuffle partitions.
+
+    Spark knows how such a table is dealt out, so joins and aggregates on
+    ``key`` do not shuffle it again. The files lie below the scratch folder; the
+    session's catalog gets a name for them. ``dealt`` is for rows that come from
+    such a table and need no other exchange.
+    """
+    spark = ship(df.sparkSession)
+    path = scratch_path(spark, tag)
+    name = "meshwork_" + path.rsplit("-", 1)[1]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._meshwork_path, out._meshwork_name = path, name
+    return out
 
 
 @contextmanager

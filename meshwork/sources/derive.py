@@ -27,13 +27,6 @@ def customer_order(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def order_part(spark: SparkSession, sf_dir: str) -> Graph:
-    """Orders and parts of the largest quantities: many components of several shapes; parts without edges are isolated."""
-    li = read(spark, sf_dir, "lineitem").where("l_quantity >= 50")
-    parts = read(spark, sf_dir, "part").select((F.col("p_partkey") + 1000 * SHIFT).alias("id"))
-    return from_edges(li.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 1000 * SHIFT).alias("dst")), parts)
-
-
-def order_part_whole(spark: SparkSession, sf_dir: str) -> Graph:
     """Orders and parts of all of lineitem; parts without edges are isolated."""
     li = read(spark, sf_dir, "lineitem")
     parts = read(spark, sf_dir, "part").select((F.col("p_partkey") + 1000 * SHIFT).alias("id"))
@@ -45,7 +38,7 @@ def customer_nation(spark: SparkSession, sf_dir: str) -> Graph:
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c"), F.col("c_nationkey").cast("long").alias("n"))
     g = from_edges(c.select(F.col("c").alias("src"), (F.col("n") + SHIFT).alias("dst")))
     named = c.select(F.col("c").alias("id"), F.col("n").alias("k")).union(c.select(F.col("n") + SHIFT, "n").distinct())
-    return Graph(vertex_rows(named, F.col("k")), g.edges)
+    return Graph(vertex_rows(named, F.col("k")), g.edges, g.symmetric)
 
 
 def event_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +58,7 @@ def event_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base edges (src, dst, commit_ts) that the log partly changes."""
-    e = read(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = read(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("src"), (F.col("event_id") % 89 + 1000).alias("dst"), F.lit(0).cast("long").alias("commit_ts")).distinct()
 
 

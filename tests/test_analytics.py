@@ -39,6 +39,23 @@ def test_bfs(g):
     assert order == queue
 
 
+def test_search_on_a_long_path_and_against_the_direction(spark, monkeypatch):
+    monkeypatch.setattr(B, "MERGED_LEVELS", 5)
+    path = from_edges(spark.createDataFrame([(i, i + 1) for i in range(23)], "src long, dst long")).materialised()
+    for named in (0, 1000):
+        assert path.symmetric and pairs(B.bfs_levels(path, 4, named=named)) == {i: abs(i - 4) for i in range(24)}
+    one_way = from_edges(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 1), (5, 0)], "src long, dst long"), undirected=False)
+    assert not one_way.symmetric and pairs(B.bfs_levels(one_way, 0)) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_search_in_all_blocks(spark, g):
+    blocks = g.vertices.select("id", (F.col("id") % 3).alias("block"))
+    got = {r["id"]: (r["block"], r["level"]) for r in B.bfs_in_blocks(g, blocks).collect()}
+    for k in range(3):
+        one = pairs(B.bfs_in_block(g, blocks, k))
+        assert {i: x for i, x in one.items()} == {i: level for i, (block, level) in got.items() if block == k}
+
+
 def test_wcc_where_greedy_propagation_fails(spark):
     tricky = from_edges(spark.createDataFrame([(0, 11), (1, 10), (10, 12), (11, 12), (5, 12)], "src long, dst long"), spark.createDataFrame([(20,)], "id long"))
     assert pairs(A.wcc(tricky)) == {**dict.fromkeys((0, 1, 5, 10, 11, 12), 0), 20: 20}
@@ -89,6 +106,25 @@ def test_cdlp(g):
     assert set(pairs(A.wcc_scan(g, 10)).values()) == {0}
 
 
+def test_rounds_leave_nothing_behind(spark, g):
+    """Spent states are deleted, and so are their names."""
+    before = len(spark.catalog.listTables())
+    ranks = A.pagerank(g, 4, epsilon=None)
+    assert len(spark.catalog.listTables()) <= before + 1 and ranks.count() == 13
+    assert A.cdlp(g, 3).count() == 13 and len(spark.catalog.listTables()) <= before + 2
+
+
+def test_a_round_shuffles_partial_sums_only(spark, g):
+    weighted = A._ranked_edges(g)
+    state = A.bucketed(A.degree(g).select("id", "degree", F.lit(0.1).alias("rank")), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = A._round(weighted, state, F.col("rank") / F.col("d"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
 def test_frontiers(spark, g):
     s = Fr.VertexSubset.from_flags(spark, [False, True, False, True, True, False])
     assert s.size() == 3 and s.contains(3) and not s.contains(0) and [r[0] for r in s.to_sparse().collect()] == [1, 3, 4]

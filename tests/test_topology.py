@@ -1,10 +1,13 @@
 """Graphs, text formats, point reads and subgraphs on the 13-vertex fixture."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.graph import from_csr, from_edges, from_map
+from meshwork.graph import from_csr, from_edges, from_map, list_rows
 from meshwork.operators import topology as T
+from meshwork.plans.block_index import build
 from meshwork.sources.text import EdgeList, load_graph, save_graph
 
 EDGES = [(0, 2), (1, 0), (1, 2), (1, 3), (2, 3), (3, 0), (3, 4), (3, 11), (4, 6), (4, 7), (5, 4), (6, 5), (7, 3), (7, 8), (7, 9), (8, 9), (8, 10), (10, 7), (10, 9), (11, 12)]
@@ -57,6 +60,24 @@ def test_csr(spark):
     assert sorted(map(tuple, g.edges.collect())) == [(0, 1), (0, 2), (1, 0)] and T.community_of(g, 2) == 6
 
 
+def test_lists_keep_their_order_and_any_ids(spark):
+    rows = list_rows(spark, {90: [5, 3, 4], 7: [], 1_000_000_007: [90]}).orderBy("pos").collect()
+    assert [(r["id"], r["neighbors"]) for r in rows] == [(7, []), (90, [5, 3, 4]), (1_000_000_007, [90])]
+
+
+def test_warm_graphs_read_the_same(small):
+    warm = T.warm_up(small)
+    assert warm.edges.storageLevel.useMemory and T.edge_count(warm) == 40
+    warm.edges.unpersist(), warm.vertices.unpersist()
+
+
+def test_tree_export(small, spark, tmp_path):
+    tree = build(small.edges, small.vertices.select("id", F.col("community").alias("block")), 4).tree
+    T.export_tree_json(tree, str(tmp_path / "tree"))
+    rows = spark.read.json(str(tmp_path / "tree")).collect()
+    assert len(rows) == tree.count() and sum(r["num_blocks"] for r in rows) == len(rows) - 1
+
+
 def test_membership_never_raises_but_communities_do(small):
     assert T.has_edge(small, 0, 2) and T.has_edge(small, 2, 0) and not T.has_edge(small, 0, 12)
     assert T.has_vertex(small, 12) and not T.has_vertex(small, 13)
@@ -80,8 +101,72 @@ def test_quotient_and_tree(small):
     blocks = small.vertices.select("id", F.col("community").alias("block"))
     q = {tuple(r) for r in T.block_adjacency(small.edges, blocks).collect()}
     assert q == {(0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1), (0, 3), (3, 0)}
-    tree = T.block_tree(small, blocks, fanout=2).collect()
-    assert sum(r["parent"] is None for r in tree) == 1
+
+
+def brute_tree(edges, members, cap):
+    """(level, block, parent) rows: blocks in search order of their graph, ``cap`` to a parent, up to one root."""
+    rows, level, block = [], 0, dict(members)
+    pairs = {(block[a], block[b]) for a, b in edges if block[a] != block[b]}
+    names = sorted(set(block.values()))
+    while len(names) > 1:
+        near = {n: sorted({b for a, b in pairs if a == n}) for n in names}
+        order, start = [], max(names, key=lambda n: (len(near[n]), -n))
+        comps = {}
+        for n in names:
+            todo, seen = [n], {n}
+            while todo:
+                x = todo.pop()
+                for y in near[x]:
+                    if y not in seen:
+                        seen.add(y), todo.append(y)
+            comps[n] = min(seen)
+        roots = [start] + sorted(c for c in set(comps.values()) if c != comps[start])
+        for root in roots:
+            queue, seen = [root], {root}
+            for x in queue:
+                for y in near[x]:
+                    if y not in seen:
+                        seen.add(y), queue.append(y)
+            order += queue
+        parent = {n: i // cap for i, n in enumerate(order)}
+        rows += [(level, n, parent[n]) for n in names]
+        pairs = {(parent[a], parent[b]) for a, b in pairs if parent[a] != parent[b]}
+        names, level = sorted(set(parent.values())), level + 1
+    return sorted([*rows, *((level, n, None) for n in names)], key=lambda r: r[:2])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_block_tree_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(90)]
+    both = {(a, b) for a, b in edges if a != b} | {(b, a) for a, b in edges if a != b}
+    members = {v: v * 7 % 23 for v in range(80)}
+    index = build(spark.createDataFrame(sorted(both), "src long, dst long"), spark.createDataFrame(sorted(members.items()), "id long, block long"), 5)
+    tree = sorted((tuple(r) for r in index.tree.select("level", "block", "parent").collect()), key=lambda r: r[:2])
+    assert tree == brute_tree(both, members, 3)
+    # reads
+    assert [r[0] for r in index.neighbor_blocks(0, 5).collect()] == sorted({members[b] for a, b in both if members[a] == 5 and members[b] != 5})
+    lists = {r["block"]: r["neighbors"] for r in index.block_adjacency(0).collect()}
+    assert set(lists) == set(range(23)) and lists[5] == [r[0] for r in index.neighbor_blocks(0, 5).collect()]
+    kids = {r[0] for r in index.blocks(0, index.parent(0, 5)).collect()}
+    assert 5 in kids and len(kids) <= 3 and index.parent(99, 0) is None
+
+
+def test_block_tree_maintenance(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(19)] + [(i + 1, i) for i in range(19)], "src long, dst long")
+    members = spark.range(20).select("id", (F.col("id") / 2).cast("long").alias("block"))
+    index = build(edges, members, 5)
+    more = index.insert_edge(0, 9)
+    assert 9 in [r[0] for r in more.neighbor_blocks(0, 0).collect()] and more.neighbor_blocks(1, more.parent(0, 0)).count() >= index.neighbor_blocks(1, index.parent(0, 0)).count()
+    # a block is written anew under another name, then split in two, then in many: the tree still covers every block once
+    for new in ([40], [40, 41], [50, 51, 52, 53, 54, 55]):
+        moved = members.where("block = 3").select("id", F.element_at(F.array(*[F.lit(b) for b in new]), (F.col("id") % len(new) + 1).cast("int")).cast("long").alias("block"))
+        after = index.replace_block(3, new, moved, edges)
+        used = {r[0] for r in after.members.select("block").distinct().collect()}
+        got = [r[0] for r in after.tree.where("level = 0").select("block").collect()]
+        assert used <= set(got) and 3 not in got and len(got) == len(set(got)) and after.tree.where("parent IS NULL").count() == 1
+        sizes = after.tree.where("parent IS NOT NULL").groupBy("level", "parent").count().agg(F.max("count")).first()[0]
+        assert sizes <= 5
 
 
 def test_statistics(small):
