@@ -4,9 +4,11 @@ Two states, clean and toxic, over the words of a text. A token's features are
 its word and the beginnings of the word, which hold for inflected forms that
 the labels do not show. Labelled tokens come from the labelled documents: in a
 toxic document the words with a feature that marks toxic documents
-significantly are toxic tokens, every other token is clean. The field is fitted on a bounded sample of labelled documents. Forward-backward gives
-every token's marginal; a document's score is a calibrated function of the
-marginals, and runs of likely toxic tokens are its offending spans.
+significantly are toxic tokens, every other token is clean. The field is fitted
+on a bounded sample of labelled documents. Forward-backward gives every token's
+marginal; a document's score is a calibrated function of the marginals, and runs
+of likely toxic tokens are its offending spans. The calibration is fitted on
+marginals of fields that have not seen the document or its near copies.
 
 The chains of all texts of a batch are one chain that starts afresh at each
 text. It is cut into blocks whose 2x2 matrix products are formed side by side,
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from meshwork.llm.shingles import letter_codes, mixed, slices, text_bytes, word_spans
 from meshwork.runtime import ship
 
-#: Labelled documents that are used for fitting, at most, and the features that the field knows.
-FIT_DOCS, VOCABULARY = 2500, 30_000
+#: Labelled documents, and bytes of their texts, that are used for fitting, at most, and the features that the field knows.
+FIT_DOCS, FIT_BYTES, VOCABULARY = 2500, 24_000_000, 30_000
+#: Parts of the labelled documents for the calibration.
+CALIBRATION_FOLDS = 2
 #: Bytes of the beginnings of words that are features.
 BEGINNINGS = (4, 5, 6, 7)
 #: Rounds of fitting, and the strength of the penalty on word weights.
@@ -181,25 +185,30 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
     return w
 
 
+def copy_groups(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number for each document; those with the same least three-word window, as near copies have, share it."""
+    n = len(first) - 1
+    own = np.repeat(np.arange(n), np.diff(first))
+    least = np.arange(n).astype(np.uint64)
+    if len(words) > 2:
+        three = mixed(words[:-2] + mixed(words[1:-1] + mixed(words[2:])))
+        three[own[:-2] != own[2:]] = np.uint64(2**64 - 1)
+        long = np.flatnonzero(np.diff(first) > 2)
+        stops = np.stack([first[long], first[long + 1] - 2], 1).ravel()
+        least[long] = np.minimum.reduceat(np.append(three, np.uint64(2**64 - 1)), stops)[::2]
+    return np.unique(least, return_inverse=True)[1]
+
+
 def token_labels(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(known features, toxic-token flags) of labelled documents.
 
     A feature marks toxic documents when the lower end of the interval
     (z = 2.58) for the share of toxic documents among those that hold it is
-    over one half; texts with the same least three-word window, as near copies
-    have, count as one document. Known features are those, then the most
-    frequent.
+    over one half; near copies count as one document. Known features are those,
+    then the most frequent.
     """
     own = np.repeat(np.arange(len(toxic)), np.diff(first))
-    least = np.arange(len(toxic)).astype(np.uint64)
-    words = hashes[0]
-    if len(words) > 2:
-        three = mixed(words[:-2] + mixed(words[1:-1] + mixed(words[2:])))
-        three[own[:-2] != own[2:]] = np.uint64(2**64 - 1)
-        long = np.flatnonzero(np.diff(first) > 2)
-        stops = np.stack([first[long], first[long + 1] - 2], 1).ravel()
-        least[long] = np.minimum.reduceat(np.append(three, np.uint64(2**64 - 1)), stops)[::2]
-    _, group = np.unique(least, return_inverse=True)
+    group = copy_groups(hashes[0], first)
     share_toxic = np.bincount(group, weights=toxic) / np.bincount(group)
     doc = group[own]
     flags = np.zeros(len(doc), bool)
@@ -229,12 +238,34 @@ def token_labels(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> tu
 def fit(texts: list[str | None], toxic: list[int]) -> Field:
     """The field and its calibration, from labelled whole texts."""
     y = np.array(toxic, dtype=np.float64)
-    model = Field()
     hashes, first, _, _ = token_features(*text_bytes(pa.array(texts, pa.large_string())))
-    n = hashes.shape[1]
-    if not n or y.min(initial=1) == y.max(initial=0):
+    if not hashes.shape[1] or y.min(initial=1) == y.max(initial=0):
         rate = (y.sum() + 0.5) / (len(y) + 1)
-        model.calibration = np.array([np.log(rate / (1 - rate)), 0.0, 0.0])
+        return Field(calibration=np.array([np.log(rate / (1 - rate)), 0.0, 0.0]))
+    fold = mixed(copy_groups(hashes[0], first).astype(np.uint64)) % np.uint64(CALIBRATION_FOLDS)
+    x = np.zeros((len(y), 3))
+    for k in range(CALIBRATION_FOLDS):
+        unseen = fold == k
+        if not unseen.any():
+            continue
+        part = fit_field(*_documents(hashes, first, ~unseen), y[~unseen])
+        h, f = _documents(hashes, first, unseen)
+        x[unseen] = document_features(toxic_marginals(part, h, f), f)
+    model = fit_field(hashes, first, y)
+    model.calibration = logistic(x, y)
+    return model
+
+
+def _documents(hashes: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features and first tokens of the chosen documents."""
+    sizes = np.diff(first)
+    return hashes[:, np.repeat(chosen, sizes)], np.append(0, np.cumsum(sizes[chosen]))
+
+
+def fit_field(hashes: np.ndarray, first: np.ndarray, y: np.ndarray) -> Field:
+    """The field by gradient ascent on the labelled tokens' likelihood, without a calibration."""
+    model, n = Field(), hashes.shape[1]
+    if not n or y.min(initial=1) == y.max(initial=0):
         return model
     model.words, labels = token_labels(hashes, first, y)
     z = labels.astype(np.int64)
@@ -265,11 +296,30 @@ def fit(texts: list[str | None], toxic: list[int]) -> Field:
         m, v = 0.8 * m + 0.2 * gradient, 0.95 * v + 0.05 * gradient**2
         theta = theta + 0.35 * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-9)
     model.weights, model.moves, model.start = theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :]
-    x = document_features(toxic_marginals(model, hashes, first), first)
-    model.calibration = logistic(x, y)
     return model
 
 
+def _spans(p: np.ndarray, data: np.ndarray, bounds: np.ndarray, first: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each text the runs of tokens that are likely toxic, in characters of the text; linear in the text."""
+    rows = len(bounds) - 1
+    hot = np.flatnonzero(p >= SPAN_FROM)
+    doc = np.searchsorted(first, hot, side="right") - 1
+    new = np.ones(len(hot), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hot[1:] != hot[:-1] + 1)
+    begin = np.flatnonzero(new)
+    if not len(hot):
+        start = end = top = np.zeros(0)
+    else:
+        last = np.append(begin[1:], len(hot)) - 1
+        chars = np.append(0, np.cumsum(data & 0xC0 != 0x80))  # characters that begin before each byte
+        base = chars[bounds[doc[begin]]]
+        start, end = chars[at[hot[begin]]] - base, chars[at[hot[last]] + sizes[hot[last]]] - base
+        top = np.maximum.reduceat(p[hot], begin)
+    cells = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(top.astype(np.float64))], names=["start", "end", "p"])
+    counts = np.bincount(doc[begin], minlength=rows) if len(hot) else np.zeros(rows, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), cells)
+
+
 def _score(model: Field, batches):
     for batch in batches:
         for start, rows in slices(batch.column("text")):
@@ -278,19 +328,7 @@ def _score(model: Field, batches):
             hashes, first, at, sizes = token_features(data, bounds)
             p = toxic_marginals(model, hashes, first)
             score = _sigmoid(document_features(p, first) @ model.calibration)
-            spans: list[list | None] = [[] for _ in range(rows)]
-            hot = np.flatnonzero(p >= SPAN_FROM)
-            for i, doc in zip(hot.tolist(), (np.searchsorted(first, hot, side="right") - 1).tolist()):
-                begin = bounds[doc]
-                letters = data[begin : at[i] + sizes[i]] & 0xC0 != 0x80  # first bytes of characters
-                end = int(letters.sum())
-                begin = end - int(letters[at[i] - begin :].sum())
-                if spans[doc] and spans[doc][-1]["last"] == i - 1:
-                    spans[doc][-1] |= {"end": end, "p": max(spans[doc][-1]["p"], float(p[i])), "last": i}
-                else:
-                    spans[doc].append({"start": begin, "end": end, "p": float(p[i]), "last": i})
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-            found = pa.array([[{k: s[k] for k in ("start", "end", "p")} for s in x] for x in spans], kind)
+            found = _spans(p, data, bounds, first, at, sizes)
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, rows), pa.array(score), found], names=["id", "score", "spans"])
 
 
@@ -298,26 +336,38 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", *more: str) -> list:
-    """At most ``limit`` labelled rows outside the held-out quarter, by a hash of the id."""
-    usable = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y")).where(F.col("__y").isNotNull() & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
+def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> list:
+    """(y, text) of at most ``limit`` labelled rows outside the held-out quarter with ``size`` bytes at most, by a hash of the id."""
+    usable = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     # the ids are bounded by the limit, so they reach every scan task and the texts stay where they are
-    chosen = usable.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(limit)
-    return docs.select(F.col(id_col).alias("__id"), *more).join(F.broadcast(chosen), "__id").orderBy("__id").limit(limit).collect()
+    chosen = usable.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes"))
+    wanted, total = [], 0
+    for r in rows.select("id", "bytes").join(F.broadcast(chosen), "id").select("id", "y", "bytes").distinct().orderBy(F.xxhash64("id"), "id", "bytes").limit(limit).collect():
+        if total + r["bytes"] <= size:
+            wanted.append((r["id"], r["y"], r["bytes"]))
+            total += r["bytes"]
+    if not wanted:
+        return []
+    taken = docs.sparkSession.createDataFrame(wanted, f"id {docs.schema[id_col].dataType.simpleString()}, y int, bytes int")
+    # rows that repeat an id and a length: the first text
+    return rows.join(F.broadcast(taken), ["id", "bytes"]).groupBy("id", "y", "bytes").agg(F.min("text").alias("text")).orderBy("id", "bytes").select("y", "text").collect()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per document: id, held_out, score, predicted, spans (start, end in characters; p).
 
     Only labels outside the held-out quarter of the ids are learned from, from
-    FIT_DOCS documents at most; only the text is an input of a score. Null and
-    empty texts score like a text without toxic words. Without labels of both
-    kinds every text gets the rate. Repeated rows get the same score; an empty
-    table gives an empty result; further columns are ignored.
+    FIT_DOCS documents of FIT_BYTES at most (a longer text is passed over, never
+    cut); only the text is an input of a score. Null and empty texts score like
+    a text without toxic words. Without labels of both kinds every text gets the
+    rate. Repeated rows get the same score; an empty table gives an empty result;
+    further columns are ignored. Texts of any length are scored whole, in time
+    linear in their length.
     """
     ship(docs.sparkSession)
-    rows = sample(docs, labels, "toxic", FIT_DOCS, id_col, text_col)
-    model = fit([r[text_col] for r in rows], [r["__y"] for r in rows])
+    rows = sample(docs, labels, "toxic", FIT_DOCS, FIT_BYTES, id_col, text_col)
+    model = fit([r["text"] for r in rows], [r["y"] for r in rows])
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _score(model, batches), f"id {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
