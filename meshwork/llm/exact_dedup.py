@@ -6,6 +6,7 @@ shards. A later batch is first grouped by digest on its own, which also folds
 hot groups of copies to one row each. Its digests are then screened shard by
 shard: what every filter denies is new; what a filter affirms is joined with
 the exact buckets of the snapshots, and the texts are compared byte by byte.
+Within a batch equal SHA-256 digests count as equal bytes.
 """
 
 from __future__ import annotations
@@ -126,17 +127,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when the same after each run of white space became one
     space; null counts as empty. Of equal texts the smallest id stays. ``batch``
     tells each row's batch (0 to ``batches`` - 1, the order of arrival); by
-    default a hash of the id deals rows out. Rows that repeat an id share its
-    fate; rows without an id are kept only if nothing else has their text. An
-    empty table gives an empty result; further columns are ignored.
+    default a hash of the id deals rows out. Exactly one row of equal texts
+    stays: that of the smallest id, any id before null; where rows repeat that id
+    and text, or none of them has an id, one of them, and which one does not show
+    in the result. An empty table gives an empty result; further columns are
+    ignored. A text of any length is hashed where it stands.
     """
     text = normalised(F.col(text_col))
     arrival = batch if batch is not None else F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches))
-    rows = materialise(docs.select(F.col(id_col).alias("id"), arrival.cast("int").alias("batch"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("key")), "digests")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(arrival.cast("int"), F.lit(0)).alias("batch"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("key"))
+    # the row's number is written with it, so it does not change when the table is read again
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
     shards = max(LEAST_SHARDS, -(-rows.count() // SHARD_KEYS))
     # copies fold here, before anything else is dealt out
     groups = materialise(
-        rows.groupBy("batch", "sha").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).withColumn("shard", F.pmod(F.hash("sha"), F.lit(shards)).cast("long")),
+        rows.groupBy("batch", "sha").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).withColumn("keep", F.col("first.id")).withColumn("shard", F.pmod(F.hash("sha"), F.lit(shards)).cast("long")),
         "groups",
     )
     links, filters, fresh = None, None, None
@@ -154,12 +159,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = materialise(likely.join(incoming.select("batch", "sha", "keep"), ["batch", "sha"]).join(held, "sha"), "pairs")
         same = same_bytes(docs, pairs, id_col, text_col)
         links = same if links is None else links.unionByName(same)
-    own = groups.select("batch", "sha", "keep", "n")
+    own = groups.select("batch", "sha", "first", "n")
     rooted = own.withColumn("root", F.col("batch")) if links is None else own.join(links, ["batch", "sha"], "left").withColumn("root", F.coalesce("root", "batch"))
-    classes = rooted.groupBy("sha", "root").agg(F.min("keep").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("batch").alias("batches"))
-    named = classes.select("sha", "keep_id", "group_size", F.explode("batches").alias("batch"))
+    classes = rooted.groupBy("sha", "root").agg(F.min("first").alias("first"), F.sum("n").alias("group_size"), F.collect_set("batch").alias("batches"))
+    named = classes.select("sha", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size", F.explode("batches").alias("batch"))
     return rows.join(named, ["batch", "sha"]).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
@@ -169,14 +174,13 @@ def same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
     ``sha`` names one incoming group and one held bucket, so there is one pair
     of representatives for each, however many copies there are.
     """
-    wanted = materialise(pairs.select(F.col("keep").alias("__wanted")).union(pairs.select("held_id")).distinct(), "wanted")
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col))
-    found = small_join(rows, wanted, F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi")
-    texts = found.select("__id", F.sha2(text, 256).alias("of"), text.cast("binary").alias("body")).dropDuplicates(["__id", "of"])
+    wanted = materialise(pairs.select(F.col("keep").alias("wanted")).union(pairs.select("held_id")).distinct(), "wanted")
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
+    found = small_join(rows, wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    texts = found.select("id", F.sha2("text", 256).alias("of"), F.col("text").cast("binary").alias("body")).dropDuplicates(["id", "of"])
 
     def with_text(df, id_name, body):
-        own = texts.select(F.col("__id").alias("__id"), F.col("of").alias("__of"), F.col("body").alias(body))
-        return df.join(own, F.col(id_name).eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__of"))).drop("__id", "__of")
+        own = texts.withColumnRenamed("body", body)
+        return df.join(own, F.col(id_name).eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of"))).drop("id", "of")
 
-    return materialise(with_text(with_text(pairs, "keep", "__a"), "held_id", "__b").where("__a = __b").select("batch", "sha", "root"), "same")
+    return materialise(with_text(with_text(pairs, "keep", "a"), "held_id", "b").where("a = b").select("batch", "sha", "root"), "same")
