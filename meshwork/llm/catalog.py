@@ -96,15 +96,18 @@ x AS (
   FROM e LEFT JOIN b ON e.source IS NOT DISTINCT FROM b.source),
 p AS (SELECT *, floor(expected)::BIGINT AS certain, expected - floor(expected) AS p FROM x),
 q AS (SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS place, target - sum(certain * size) OVER (PARTITION BY source) AS rest FROM p),
-t AS (SELECT *, sum(CASE WHEN place IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place NULLS FIRST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q),
-m AS (SELECT *, CASE WHEN place IS NOT NULL AND upto::DOUBLE - size::DOUBLE / 2 <= rest THEN 1 ELSE 0 END AS more FROM t),
+t AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, doc_id, size) AS words,
+    sum(CASE WHEN place IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place NULLS FIRST, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM q),
+m AS (SELECT *, CASE WHEN place IS NOT NULL AND upto::DOUBLE - words::DOUBLE / 2 <= rest THEN 1 ELSE 0 END AS more FROM t),
 h AS (SELECT *, target - sum((certain + more) * size) OVER (PARTITION BY source)::DOUBLE AS gap FROM m),
 l AS (
   SELECT *, place IS NOT NULL AND more = CASE WHEN gap > 0 THEN 0 ELSE 1 END AND abs(abs(gap) - size) < abs(gap) AS able,
-    row_number() OVER (PARTITION BY source, (place IS NOT NULL AND more = CASE WHEN gap > 0 THEN 0 ELSE 1 END AND abs(abs(gap) - size) < abs(gap))
+    dense_rank() OVER (PARTITION BY source, (place IS NOT NULL AND more = CASE WHEN gap > 0 THEN 0 ELSE 1 END AND abs(abs(gap) - size) < abs(gap))
       ORDER BY abs(abs(gap) - size), place, doc_id, size) AS nth
   FROM h),
-z AS (SELECT *, certain + CASE WHEN able AND nth = 1 THEN 1 - more ELSE more END AS copies FROM l)
+z AS (SELECT *, certain + CASE WHEN able AND nth = 1 AND abs(abs(gap) - words) < abs(gap) THEN 1 - more ELSE more END AS copies FROM l)
 SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM z
 """
 

@@ -10,7 +10,9 @@ words as near to the target as it can.
 
 DataFrame operations only. No source is ever sorted as a whole: the ranking
 number is cut into buckets, whole buckets are decided by their word totals, and
-only the documents of the one bucket where the target falls are sorted.
+only the documents of the one bucket where the target falls are sorted. What a
+document gets follows from its source, id and size and from small tables (a row
+a source, and the rows of those buckets), so the texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from meshwork.runtime import materialise, small_join
 
 #: The most copies that a document can have, the share of all words that is shared out, and the sources' weights in turn.
 MOST_COPIES, SHARE, WEIGHTS = 2, 1.5, (5, 2, 1)
-#: Buckets of the ranking number for each source; the documents of one in so many are sorted.
-BUCKETS = 4096
+#: Buckets of the ranking number for each source at least, and the rows that one may hold on average; one a source is sorted.
+BUCKETS, BUCKET_ROWS = 4096, 50_000
 
 
 def size_class(size: Column) -> Column:
@@ -38,7 +40,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     Sources take the weights in turn, by code point, null last. Words go out by
     weight; what exceeds MOST_COPIES times a source's words is shared again
     among the others. The end of those rounds is one common rate for the
-    sources below their limit, found by sorting sources by limit over weight.
+    sources below their limit, found by sorting sources by limit over weight:
+    the sources' totals, a row each, go through one task.
     """
     per_source = sizes.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
@@ -73,34 +76,39 @@ def factors(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     return best.select("source_key", F.col("best.factor").alias("factor"), F.col("best.cls").alias("top_class"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """One row per document: id, size, source_size, target, copies, taken.
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    source = F.col(source_col)
+    key = F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+    return docs.select(*more, F.col(id_col).alias("id"), source.alias("source"), key.alias("source_key"), n_words(F.col(text_col)).alias("size"))
 
-    Size is the number of words (null and empty texts: 0, never taken, no
-    copies). Null is a source of its own, the last. Equal ids have equal random
-    numbers and count in the order of their size; repeated rows are documents
-    of their own. An empty table gives an empty result; further columns are
-    ignored. The same seed gives the same mix.
-    """
-    return _mixed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), seed).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", "taken"
-    )
+
+def placed(df: DataFrame, buckets: int, seed: str) -> DataFrame:
+    """``df`` (id, size, factor, top_class) with the certain copies and, where one more is open, its place in [0, 1) and bucket."""
+    cls, most = size_class(F.col("size")), F.lit(float(MOST_COPIES))
+    expected = F.when(F.col("size") == 0, F.lit(0.0)).when(cls > F.coalesce("top_class", F.lit(0)), most).otherwise(F.least(most, F.col("factor") * cls))
+    df = df.withColumn("expected", expected).withColumn("certain", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("certain"))
+    df = df.withColumn("u", uniform(seed, F.col("id")))
+    # q / (1 + q) for q = (u / (1 - u)) / (p / (1 - p)): the same order, within [0, 1)
+    place = F.col("u") * (1 - F.col("p")) / (F.col("u") * (1 - F.col("p")) + (1 - F.col("u")) * F.col("p"))
+    df = df.withColumn("place", F.when(F.col("p") > 0, place))
+    return df.withColumn("bucket", F.when(F.col("place").isNotNull(), F.least(F.floor(F.col("place") * buckets), F.lit(buckets - 1)).cast("long")))
+
+
+def with_more(df: DataFrame, line: DataFrame) -> DataFrame:
+    """``df`` (placed, with its source's ``cut``) with ``more``: whether the open copy is taken. ``line`` has the decisions of the cut buckets."""
+    on = F.col("source_key").eqNullSafe(F.col("line_source")) & F.col("id").eqNullSafe(F.col("line_id")) & (F.col("size") == F.col("line_size"))
+    df = small_join(df, line, on, "left")
+    more = F.when(F.col("bucket").isNull(), 0).when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1).when(F.col("bucket") > F.col("cut"), 0).otherwise(F.col("line_more"))
+    return df.withColumn("more", more.cast("long"))
 
 
-def _mixed(rows: DataFrame, seed: str) -> DataFrame:
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    sizes = materialise(rows.select("*", key.alias("source_key")), "sizes")
+def rules(sizes: DataFrame, seed: str) -> tuple[DataFrame, DataFrame, int]:
+    """What decides on every document of ``sizes`` (materialised): a row a source, the cut buckets' rows, the number of buckets."""
+    buckets = max(BUCKETS, -(-sizes.count() // BUCKET_ROWS))
     goal = materialise(targets(sizes), "targets")
     params = materialise(goal.join(factors(sizes, goal), "source_key", "left"), "factors")
-    expected = F.when(F.col("size") == 0, F.lit(0.0)).when(size_class(F.col("size")) > F.coalesce("top_class", F.lit(0)), F.lit(float(MOST_COPIES))).otherwise(F.least(F.lit(float(MOST_COPIES)), F.col("factor") * size_class(F.col("size"))))
-    df = small_join(sizes, params, "source_key").withColumn("expected", expected)
-    df = df.withColumn("certain", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("certain"))
-    u = uniform(seed, F.col("id"))
-    df = df.withColumn("u", u)
-    # q / (1 + q) for q = (u / (1 - u)) / (p / (1 - p)): the same order, within [0, 1)
-    place = F.col("u") * (1 - F.col("p")) / (F.col("u") * (1 - F.col("p")) + (1 - F.col("u")) * F.col("p"))
-    df = df.withColumn("place", F.when(F.col("p") > 0, place)).withColumn("bucket", F.when(F.col("place").isNotNull(), F.least(F.floor(F.col("place") * BUCKETS), F.lit(BUCKETS - 1)).cast("long")))
-    df = materialise(df.select("id", "source_key", "size", "source_size", "target", "certain", "place", "bucket"), "ranked")
+    df = placed(small_join(sizes, params, "source_key"), buckets, seed)
+    df = materialise(df.select("id", "source_key", "size", "target", "certain", "place", "bucket"), "ranked")
     # words still wanted, by source, and the bucket in which they are met
     totals = df.groupBy("source_key", "bucket").agg(
         F.sum(F.when(F.col("place").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("target")
@@ -111,31 +119,55 @@ def _mixed(rows: DataFrame, seed: str) -> DataFrame:
     cut = steps.where("bucket IS NOT NULL AND before + words > left").groupBy("source_key").agg(F.min(F.struct("bucket", "before", "left")).alias("cut"))
     cuts = materialise(cut.select("source_key", F.col("cut.bucket").alias("cut"), F.col("cut.before").alias("before"), F.col("cut.left").alias("left")), "cuts")
     df = small_join(df, cuts, "source_key", "left")
-    sorted_bucket = df.where("bucket = cut")
-    within = Window.partitionBy("source_key").orderBy("place", "id", "size")
-    upto = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    # the document on the line is in when more than half of it is wanted
-    decided = sorted_bucket.withColumn("more", (F.col("before") + upto - F.col("size") / 2 <= F.col("left")).cast("long"))
-    others = df.where("bucket IS NULL OR cut IS NULL OR bucket <> cut").withColumn("more", F.when(F.col("bucket").isNull(), 0).when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1).otherwise(0).cast("long"))
-    drawn = materialise(others.unionByName(decided).select("id", "source_key", "size", "source_size", "target", "certain", "place", "more"), "drawn")
-    # the last step of a source: one document more or less where that brings the words nearer to the target
-    gaps = drawn.groupBy("source_key").agg((F.first("target") - F.sum((F.col("certain") + F.col("more")) * F.col("size"))).alias("gap"))
-    gaps = materialise(gaps, "gaps")
+    # rows that repeat source, id and size are one entry; it is in when more than half of it is wanted
+    entries = df.where("bucket = cut").groupBy("source_key", "id", "size", "place").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("left").alias("left"))
+    upto = F.sum("words").over(Window.partitionBy("source_key").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = entries.select("source_key", "id", "size", (F.col("before") + upto - F.col("words") / 2 <= F.col("left")).cast("long").alias("more"))
+    line = materialise(chosen.toDF("line_source", "line_id", "line_size", "line_more"), "line")
+    drawn = materialise(with_more(df, line).select("id", "source_key", "size", "target", "certain", "place", "more"), "drawn")
+    # the last step of a source: one entry more or less where that brings the words nearer to the target
+    gaps = materialise(drawn.groupBy("source_key").agg((F.first("target") - F.sum((F.col("certain") + F.col("more")) * F.col("size"))).alias("gap")), "gaps")
+    open_ = small_join(drawn, gaps, "source_key")
     miss = F.abs(F.abs("gap") - F.col("size"))
     able = F.col("place").isNotNull() & (F.col("more") == F.when(F.col("gap") > 0, 0).otherwise(1)) & (miss < F.abs("gap"))
-    last = small_join(drawn, gaps, "source_key").where(able).groupBy("source_key").agg(F.min(F.struct(miss.alias("miss"), "place", "id", "size")).alias("x"))
-    last = materialise(last.select(F.col("source_key").alias("key"), F.col("x.id").alias("last_id"), F.col("x.place").alias("last_place"), F.col("x.size").alias("last_size")), "last")
-    mine = (F.col("source_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("last_id")) & (F.col("place") == F.col("last_place")) & (F.col("size") == F.col("last_size"))
-    df = small_join(drawn, last, mine, "left")
-    more = F.when(F.col("key").isNotNull(), 1 - F.col("more")).otherwise(F.col("more"))
+    best = open_.where(able).groupBy("source_key").agg(F.min(F.struct(miss.alias("miss"), "place", "id", "size")).alias("x"))
+    best = materialise(best.select(F.col("source_key").alias("key"), F.col("x.id").alias("last_id"), F.col("x.size").alias("last_size")), "best")
+    # the entry may stand for several rows
+    mine = (F.col("source_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("last_id")) & (F.col("size") == F.col("last_size"))
+    words = small_join(open_, best, mine).groupBy("key", "last_id", "last_size").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+    last = words.where(F.abs(F.abs("gap") - F.col("words")) < F.abs("gap")).select(F.col("key").alias("source_key"), "last_id", "last_size")
+    table = params.join(cuts.select("source_key", "cut"), "source_key", "left").join(last, "source_key", "left")
+    return materialise(table, "rules"), line, buckets
+
+
+def decided(df: DataFrame, table: DataFrame, line: DataFrame, buckets: int, seed: str) -> DataFrame:
+    """``df`` (id, source_key, size and others) with source_size, target, copies and taken: a projection but for the small tables."""
+    df = with_more(placed(small_join(df, table, "source_key"), buckets, seed), line)
+    turned = F.col("last_size").isNotNull() & F.col("id").eqNullSafe(F.col("last_id")) & (F.col("size") == F.col("last_size"))
+    more = F.when(turned, 1 - F.col("more")).otherwise(F.col("more"))
     return df.withColumn("copies", F.col("certain") + more).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """One row per document: id, size, source_size, target, copies, taken.
+
+    Size is the number of words (null and empty texts: 0, never taken, no
+    copies). Null is a source of its own, the last. Equal ids, null among them,
+    have equal random numbers; rows that repeat source, id and size are taken
+    alike, whatever else differs. An empty table gives an empty result; further
+    columns are ignored. The same seed gives the same mix. A text is counted
+    where it stands, whatever its length.
+    """
+    sizes = materialise(sized(docs, id_col, text_col, source_col), "sizes")
+    return decided(sizes, *rules(sizes, seed), seed).select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", "taken")
+
+
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, with its columns.
+    """``docs`` with each row as often as the mix takes it, with its columns, whatever their names.
 
-    Ids must be distinct here; copies keep the id.
+    Null and repeated ids are taken as ``mix`` says: a row of its own each.
     """
-    copies = mix(docs, id_col, text_col, source_col, seed).where("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies"))
-    taken = docs.join(copies, F.col(id_col) == F.col("__id"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    sizes = materialise(sized(docs, id_col, text_col, source_col), "sizes")
+    rows = sized(docs, id_col, text_col, source_col, F.struct("*").alias("row"))
+    taken = decided(rows, *rules(sizes, seed), seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
