@@ -17,8 +17,10 @@ signature's bands deal representatives into buckets:
    that are similar enough share one of their rarest shingles (a quarter of the
    set and one more), early enough in both for the overlap to suffice. Texts
    that only have a passage in common, and copies with many edits of their own,
-   have rarer shingles than the shared ones, so they are not paired; no
-   candidate is dropped.
+   have rarer shingles than the shared ones, so they are not paired. Of the
+   texts of a family, which share wording but were edited each for itself, the
+   sets' bitmaps show how much they differ at least: what cannot be similar
+   enough never leaves the join. No other candidate is dropped.
 
 Pairs inside a component are never made, so a huge group of near copies costs
 about one pair per member and band, not the square of its size.
@@ -42,6 +44,8 @@ SHINGLE, PERCENT = 5, 75
 LEAST_AGREEMENT = 0.58
 #: Members of a bucket that may be paired directly; larger ones go through the prefix filter.
 SMALL = 48
+#: Bits of a set's bitmap, in words of 64, and the cells in which shingles are counted (a power of two; four bytes each to every task).
+BITS, WORDS, CELLS = 2048, 32, 1 << 20
 
 
 def superminhash(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
@@ -102,12 +106,25 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, rows), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits as int64 words; a bit is set when some shingle falls on it.
+
+    A bit that only one of two sets has set stands for a shingle that the other
+    lacks, so the sets differ in at least as many shingles as bitmaps in bits.
+    """
+    bits = np.zeros(BITS, np.uint8)
+    bits[(mixed(shingles) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _listed(batches):
-    """(id, shingles): the full sets as arrays of whole numbers."""
+    """(id, shingles, bits): the full sets as arrays of whole numbers, and their bitmaps."""
     for batch in batches:
         for start, rows in slices(batch.column("text")):
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").slice(start, rows), SHINGLE)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, rows), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = shingle_sets(batch.column("text").slice(start, rows), SHINGLE)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").slice(start, rows), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles", "bits"]
+            )
 
 
 def _agreeing(batches):
@@ -144,7 +161,8 @@ def _open(members: DataFrame) -> DataFrame:
     """The members (key, id, comp) of buckets with two components or more, with the bucket's size and largest component."""
     per = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     tops = per.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    return members.join(tops.drop("comps"), "key")
+    # open buckets are few: counted, then told to every task, so that a large bucket's members stay where they are
+    return small_join(members, materialise(tops.drop("comps"), "tops"), "key")
 
 
 def _across(members: DataFrame) -> DataFrame:
@@ -155,21 +173,45 @@ def _across(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).distinct()
 
 
-def _rare_first(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, n, alone, l, centre) for the members of large buckets.
+def _ordered(cells: np.ndarray, batches):
+    """(id, n, alone, centre, front, bits) of (id, shingles, bits) rows: see ``_rare_first``."""
+    for batch in batches:
+        n, alone, centre, front = [], [], [], []
+        for s in batch.column("shingles"):
+            s = s.values.to_numpy()
+            often = cells[_cell(s)]
+            order = np.lexsort((s, often))
+            single = int((often == 1).sum())
+            reach = len(s) - -(-len(s) * PERCENT // 100) + 1
+            n.append(len(s)), alone.append(single), centre.append(float(often.mean())), front.append(s[order[single:reach]])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array(n, pa.int64()), pa.array(alone, pa.int64()), pa.array(centre, pa.float64()), pa.array(front, pa.list_(pa.int64())), batch.column("bits")], names=["id", "n", "alone", "centre", "front", "bits"]
+        )
+
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)
+
 
-    ``l`` are the shingles that other members have too, as (df, s), the rarest
-    first; ``alone`` is the number of those that the text has to itself, which
-    come before them. ``centre`` is the mean df: the texts of a family with the
-    fewest changes of their own have the largest.
+def _rare_first(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n, alone, centre, front, bits) for the members of large buckets.
+
+    Shingles are ordered by how many members have one on the same of CELLS
+    cells, which is as many as have it or more, then by their value: one order
+    for all texts, about the rarest first. ``alone`` is the number of shingles
+    that the text has its cell to itself with, which come first; ``front`` are
+    those after them that a similar text may meet first. ``centre`` is the mean
+    count: the texts of a family with the fewest changes of their own have the
+    largest. Only the cells' counts reach the driver and the tasks.
     """
     ids = materialise(members.select("id").distinct(), "ids")
     texts = small_join(docs, ids, "id", "left_semi").dropDuplicates(["id"])
-    rows = materialise(texts.mapInArrow(_listed, "id long, shingles array<long>").select("id", F.explode("shingles").alias("s")), "listed")
-    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    per = rows.join(counts, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("l"), F.sum("df").alias("sum"))
-    return materialise(per.join(sizes, "id").select("id", "n", (F.col("n") - F.size("l")).alias("alone"), "l", (F.col("sum") / F.col("n")).alias("centre")), "rare")
+    sets = materialise(texts.mapInArrow(_listed, "id long, shingles array<long>, bits array<long>").where("size(shingles) > 0"), "listed")
+    cell = F.pmod(F.col("s"), F.lit(CELLS))
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    cells = np.ones(CELLS, np.int32)
+    cells[counts["cell"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**31 - 1)
+    return materialise(sets.mapInArrow(lambda batches: _ordered(cells, batches), "id long, n long, alone long, centre double, front array<long>, bits array<long>"), "rare")
 
 
 def _central_pairs(members: DataFrame, rare: DataFrame) -> DataFrame:
@@ -186,31 +228,89 @@ def _prefix_pairs(members: DataFrame, rare: DataFrame) -> DataFrame:
     One end lies outside the largest component of a bucket, and the components
     differ. A similar pair's first common shingle lies within both prefixes,
     and what is left behind it in either set suffices for the overlap that the
-    sizes ask for; shingles of one text alone count for the places.
+    sizes ask for; shingles of one text alone count for the places. Nor may the
+    bitmaps show more differences than the sizes allow.
     """
     ids = members.groupBy("id").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("top")).alias("out"))
-    reach = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("alone")
-    front = rare.where(reach > 0).join(ids, "id").select("id", "comp", "out", "n", "alone", F.posexplode(F.slice("l", F.lit(1), reach.cast("int"))).alias("at", "e"))
-    prefix = materialise(front.select("id", "comp", "out", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("behind"), F.col("e.s").alias("s")), "prefix")
-    x = prefix.where("out").select("s", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
-    y = prefix.select("s", F.col("id").alias("y"), F.col("comp").alias("cy"), "out", F.col("n").alias("ny"), F.col("behind").alias("by"))
+    front = rare.join(ids, "id").select("id", "comp", "out", "n", "alone", "bits", F.posexplode("front").alias("at", "s"))
+    prefix = materialise(front.select("id", "comp", "out", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("behind"), "s", "bits"), "prefix")
+    x = prefix.where("out").select("s", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"), F.col("bits").alias("mx"))
+    y = prefix.select("s", F.col("id").alias("y"), F.col("comp").alias("cy"), "out", F.col("n").alias("ny"), F.col("behind").alias("by"), F.col("bits").alias("my"))
     # ``behind`` counts the common shingle itself; an overlap o is enough if o * (100 + PERCENT) >= PERCENT * (nx + ny)
     enough = (100 + PERCENT) * F.least("bx", "by") >= PERCENT * (F.col("nx") + F.col("ny"))
-    pairs = x.join(y, (x["s"] == y["s"]) & (F.col("cx") != F.col("cy")) & (~F.col("out") | (F.col("x") < F.col("y"))) & enough)
+    # sets that differ in d shingles are similar enough if (100 + PERCENT) * d <= (100 - PERCENT) * (nx + ny)
+    apart = sum((F.bit_count(F.get("mx", F.lit(i)).bitwiseXOR(F.get("my", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+    near = (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("nx") + F.col("ny"))
+    pairs = x.join(y, (x["s"] == y["s"]) & (F.col("cx") != F.col("cy")) & (~F.col("out") | (F.col("x") < F.col("y"))) & enough & near)
     return pairs.select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).distinct()
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) rows whose ids are whole numbers, each once, and the rows behind them where those are not the table's own ids.
+
+    Where ids are null or repeated the rows are written with a number each, and
+    that number serves as the id; the second table (id, own, row) has the rest.
+    """
+    own = F.col(id_col).cast("long")
+    ids = docs.select(own.alias("id"))
+    if ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty():
+        return docs.select(own.alias("id"), F.col(text_col).alias("text")), None
+    rows = docs.select(own.alias("own"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    rows = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
+    return rows.select("id", "text"), rows.select("id", "own", "row")
+
+
+def _regrouped(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """What ``_groups`` found of numbered rows, in terms of the table's own ids: id (the row's number), own, n, component, kept, first."""
+    df = found.join(rows.select("id", "own"), "id")
+    # the smallest id names a group, any id before null; groups without one keep the row with the smallest number
+    least = df.groupBy("component").agg(F.min(F.struct(F.col("own").isNull(), "own", "id")).alias("least"))
+    named = df.join(least, "component").withColumn("component", F.col("least.own"))
+    return named.select("id", "own", "n", "component", F.coalesce(F.col("own") == F.col("component"), F.col("id") == F.col("least.id")).alias("kept"), (F.col("id") == F.col("least.id")).alias("first"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Links are pairs whose shingle sets have 100 * intersection >= 75 * union; a
     component's id is its smallest document id. Null and empty texts have an
-    empty set and stand alone. Rows that repeat an id share its component. An
-    empty table gives an empty result; further columns are ignored. Ids are
-    whole numbers and not null.
+    empty set and stand alone. Rows that repeat an id are documents of their own
+    with that id: ``kept`` is true for the rows whose id is the component's. Rows
+    without an id are documents too; a component without any id has the id null
+    and keeps one row. An empty table gives an empty result; further columns are
+    ignored. Ids are whole numbers or null. Whole texts are read, a very long one
+    in a batch alone.
+
+    A pair is found when the signatures agree in one of 32 bands of four places
+    and in LEAST_AGREEMENT of all places: each misses a pair at the bound of 0.75
+    with a probability of about 5 in a million.
+    """
+    texts, rows = _named(docs, id_col, text_col)
+    found = _groups(texts)
+    if rows is None:
+        named = found.select("id", "n", "component", (F.col("id") == F.col("component")).alias("kept"))
+    else:
+        named = _regrouped(found, rows).select(F.col("own").alias("id"), "n", "component", "kept")
+    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, exactly one document of each group, with their columns, whatever their names.
+
+    Of rows that repeat the id of the document that stays, one stays.
     """
+    texts, rows = _named(docs, id_col, text_col)
+    found = _groups(texts)
+    if rows is None:
+        gone = found.where("id <> component").select(F.col("id").alias("gone"))
+        held = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+        return held.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    return rows.join(_regrouped(found, rows).where("first").select("id"), "id", "left_semi").select("row.*")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """(id, n, component) of (id, text) rows whose ids are whole numbers, each once."""
     spark = ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(docs.mapInArrow(_signed, "id long, n long, a long, b long, bands array<long>, sig binary"), "signatures")
     groups = materialise(signed.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep")), "sets")
     first = signed.where("n > 0").join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
@@ -240,11 +340,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     comps = materialise(connected_components(links.union(more)), "components")
     classes = groups.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("label", "rep").alias("component"))
     named = signed.select("id", "n", "a", "b").join(classes, ["n", "a", "b"], "left")
-    component = F.coalesce("component", "id")
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with their columns."""
-    gone = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return named.select("id", "n", F.coalesce("component", "id").alias("component"))
