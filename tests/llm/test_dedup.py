@@ -61,12 +61,18 @@ def test_exact_dedup(spark, batches):
         assert r["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_exact_dedup_of_repeated_and_null_ids(spark):
-    rows = [(5, "a"), (5, "a"), (None, "b"), (7, "b"), (None, "c")]
-    got = E.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 5
-    assert sorted((r["text_sha256"] == hashlib.sha256(b"a").hexdigest(), r["kept"]) for r in got) == [(False, False), (False, True), (False, True), (True, True), (True, True)]
-    assert E.exact_dedup(docs_of(spark, [])).count() == 0
+@pytest.mark.parametrize("batches", [1, 2])
+def test_exact_dedup_keeps_one_row_of_equal_texts(spark, batches):
+    """Null and repeated ids too: any id comes before null."""
+    rows = [(5, "a"), (5, "a"), (None, "b"), (7, "b"), (None, "c"), (None, "c"), (None, "d"), (9, ""), (9, None), (9, "a"), (None, " \t"), (None, " ")]
+    got = E.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batches=batches).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    seen = {t: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in got if r["text_sha256"] == sha(t)) for t in ("a", "b", "c", "d", "", " ")}
+    assert [x[4] for x in seen["a"]] in ([True, False, False], [False, True, False]) and {x[2:4] for x in seen["a"]} == {(5, 3)}
+    assert seen["b"] == [(False, 7, 7, 2, True), (True, 0, 7, 2, False)]
+    assert sorted(x[4] for x in seen["c"]) == [False, True] and {x[2] for x in seen["c"]} == {None}
+    assert seen["d"] == [(True, 0, None, 1, True)] and sum(x[4] for x in seen[""]) == sum(x[4] for x in seen[" "]) == 1
+    assert len(got) == len(rows) and E.exact_dedup(docs_of(spark, [])).count() == 0
 
 
 # line dedup
@@ -81,6 +87,27 @@ def test_pages(spark):
     assert L.clean_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_very_long_pages_and_clashing_names(spark):
+    rng = random.Random(14)
+    long = "".join(f"<p>{prose(rng, 3)} {i}</p>" for i in range(20_000))
+    rows = [(i, "http://a.example/x", f"<div>menu</div><p>{i}</p>{long if i == 0 else ''}", "x", 1, 2, 3) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, lines int, keys int, often int")
+    out = {r["page_id"]: r for r in L.clean_pages(pages).collect()}
+    assert out[0]["n_lines"] == 20_002 and out[0]["n_dropped"] == 1 and out[1]["text"] == "1"
+    docs = docs_of(spark, ["a\nb"] * 3 + [None]).withColumns({c: F.lit(1) for c in ("host", "lines", "keys", "often", "own", "row", "n_lines", "n_dropped", "__host")})
+    kept = L.clean_documents(docs)
+    assert kept.columns == docs.columns and sorted(r["text"] or "" for r in kept.collect()) == ["", "a\nb", "a\nb", "a\nb"]
+
+
+def test_a_line_is_told_from_another_with_its_hash(spark, monkeypatch):
+    """Where all lines share a hash, the lines themselves decide."""
+    real = F.xxhash64
+    monkeypatch.setattr(L.F, "xxhash64", lambda *c: real(F.length(c[0])) if len(c) == 1 else real(*c))
+    rows = [(i, "http://a.example", f"<p>menu</p><p>x{i:03d}</p>") for i in range(100)]
+    out = L.clean_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {i: f"x{i:03d}" for i in range(100)}
+
+
 def test_documents_lose_boilerplate_only(spark):
     rng = random.Random(4)
     texts = [f"{prose(rng, 30)}\nsubscribe to our  letter\n\n{prose(rng, 9)}" for _ in range(40)] + [None, "", "subscribe to our letter"]
@@ -162,6 +189,16 @@ def test_superminhash_estimates():
     assert max(errors) < 0.15
 
 
+def test_bitmaps_never_show_more_differences_than_there_are():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 200, 3000):
+        pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        for share in (0, n // 8, n):
+            a, b = np.unique(pool[:n]), np.unique(pool[share : share + n])
+            seen = sum((x ^ y).bit_count() for x, y in zip(N.bitmap(a).view(np.uint64).tolist(), N.bitmap(b).view(np.uint64).tolist()))
+            assert seen <= len(np.setxor1d(a, b)) and (n > 200 or share == 0 or seen > 0)
+
+
 def near_family(rng, n, edits):
     words = prose(rng, 150).split()
     out = []
@@ -185,6 +222,24 @@ def test_near_groups(spark, monkeypatch, small):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_near_groups_without_ids_and_of_repeated_ids(spark):
+    """Rows are documents of their own, whatever their ids; a group is named by its smallest id."""
+    rng = random.Random(17)
+    family, other = near_family(rng, 6, 3), near_family(rng, 3, 2)
+    rows = [(4, family[0]), (4, other[0]), (None, family[1]), (2, family[2]), (None, other[1]), (9, None), (None, None), (None, "a b c d e f"), (None, "A b c d e f"), (7, "a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "row", "own", "component", "first", "kept", "gone")})
+    want = brute_groups([t for _, t in rows])
+    ids = [min((i for (i, _), (_, root) in zip(rows, want) if root == r and i is not None), default=None) for _, r in want]
+    got = N.near_groups(docs).collect()
+    show = lambda x: (x is None, x or 0)
+    assert sorted((show(r["doc_id"]), r["n_shingles"], show(r["component_id"])) for r in got) == sorted((show(i), n, show(c)) for (i, _), (n, _), c in zip(rows, want, ids))
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["component_id"] is not None)
+    kept = N.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len({root for _, root in want})
+    left = [r["text"] for r in kept.collect()]
+    assert sum(t in family for t in left) == 1 and sum(t in other for t in left) == 1 and left.count(None) == 2
+
+
 def test_near_groups_of_nothing_and_of_repeats(spark):
     assert N.near_groups(docs_of(spark, [])).count() == 0
     twice = docs_of(spark, ["a b c d e f", None]).union(docs_of(spark, ["a b c d e f", None]))

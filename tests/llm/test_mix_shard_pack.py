@@ -1,5 +1,6 @@
 """Operators 5, 7 and 8 and the pipeline: brute force, exact round trips, edge cases."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -68,6 +69,32 @@ def test_mixing(spark):
     assert all(r["taken"] == 0 for r in mixing.mix(sourced(spark, [(None, None), ("", "a")])).collect())
 
 
+def test_mixing_without_ids_and_of_repeated_ids(spark):
+    """Rows that repeat source, id and size are taken alike; every other row is taken by itself."""
+    rng = random.Random(16)
+    rows = [(None, prose(rng, 9), "a")] * 2 + [(None, prose(rng, n), rng.choice("ab")) for n in range(1, 40)]
+    rows += [(5, prose(rng, 7), "a")] * 3 + [(5, prose(rng, 8), "b"), (6, None, "a"), (None, "", None)] + [(i, prose(rng, rng.randint(1, 50)), rng.choice("abc")) for i in range(10, 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("id", "size", "row", "copies", "place", "more", "target", "cut")})
+    copies = {}
+    for r in mixing.mix(df).collect():
+        assert copies.setdefault((r["doc_id"], r["size"], r["source_size"]), r["copies"]) == r["copies"]
+    per = Counter()
+    for _, t, s in rows:
+        per[s] += len((t or "").split())
+    want = Counter()
+    for i, t, s in rows:
+        n = copies[i, len((t or "").split()), per[s]]
+        if n:
+            want[i, t, s] += n
+    out = mixing.repeat_documents(df)
+    assert out.columns == df.columns and Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect()) == want
+    goal = water_fill(per)
+    for s in per:
+        taken = sum(copies[i, len((t or "").split()), per[s]] * len((t or "").split()) for i, t, x in rows if x == s)
+        heaviest = max((sum(len((u or "").split()) for j, u, y in rows if (j, y, len((u or "").split())) == (i, s, len((t or "").split()))) for i, t, x in rows if x == s), default=0)
+        assert abs(taken - goal[s]) <= heaviest / 2 + 1e-6
+
+
 def test_inclusion_follows_the_expected_copies(spark):
     """Over many seeds a document's mean copies come near factor times size class."""
     rows = [("w " * n, "a") for n in (1, 3, 9, 30, 100, 300) for _ in range(6)] + [("w " * 40, "b")]
@@ -112,6 +139,57 @@ def test_sharding(spark):
     assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
 
 
+def chance(seed, key):
+    return (int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+
+def brute_shards(rows, shards=16):
+    """(id, shard, slot) of (id, text, source) rows, sorted as a whole."""
+    first = lambda x: (x is not None, x)
+    per = defaultdict(list)
+    for i, t, s in rows:
+        data = (t or "").encode()
+        size, crc, source = len(data) + 1, zlib.crc32(data), "null" if s is None else f"={s}"
+        per[source].append((chance("shard", f"{'null' if i is None else i}:{size}:{crc}"), first(i), size, crc))
+    placed = []
+    for source, members in per.items():
+        phase = chance("shard", source)
+        placed += [((k + phase) / len(members), *m, source) for k, m in enumerate(sorted(members))]
+    out, n = [], len(rows)
+    for at, (_, _, i, _, _, _) in enumerate(sorted(placed)):
+        shard = int(at * shards / n)
+        out.append((i[1], shard, at - math.ceil(shard * n / shards)))
+    return out
+
+
+def test_sharding_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.randint(0, 6)), "hot") for i in range(300)] + [(None, prose(rng, 4), "b") for _ in range(80)]
+    rows += [(1000 + i, prose(rng, 3), f"lone {i}") for i in range(200)] + [(7, "same", "b"), (7, "same", "b"), (8, None, None), (9, "x" * 200_000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("id", "u", "rank", "place", "at")})
+    got = sorted((r["shard"], r["slot"], r["doc_id"] or -1) for r in sharding.shard(df.repartition(5)).collect())
+    assert got == sorted((s, k, i or -1) for i, s, k in brute_shards(rows))
+
+
+def test_no_bucket_of_the_ranking_is_hot(spark):
+    """Sources of one document, and null ids, spread over the buckets."""
+    rows = [(None, f"text {i}", f"lone {i}") for i in range(3000)]
+    seen = []
+    real = sharding.ranked
+
+    def watched(df, groups, place, order, buckets, out):
+        if not groups:
+            seen.append(df.groupBy(F.floor(F.col(place) * 64)).count().agg(F.max("count")).first()[0])
+        return real(df, groups, place, order, buckets, out)
+
+    sharding.ranked = watched
+    try:
+        assert sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == 3000
+    finally:
+        sharding.ranked = real
+    assert seen and seen[0] < 3 * 3000 / 64
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
