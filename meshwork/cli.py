@@ -10,13 +10,14 @@ from pyspark.sql import SparkSession
 
 from meshwork import config
 from meshwork.operators import analytics, traversal
+from meshwork.operators.topology import warm_up
 from meshwork.sources.text import load_graph
 
 
 def algorithms() -> dict[str, dict]:
     """For each command the functions by ``--algo`` name; the first is the default."""
     return {
-        "bfs": {"map": lambda g, a: traversal.bfs_levels(g, a.start), "scan": lambda g, a: traversal.bfs_levels(g, a.start), "sequential": lambda g, a: traversal.bfs_visit_order(g, a.start)},
+        "bfs": {"map": lambda g, a: traversal.bfs_levels(g, a.start, named=g.vertices.count() // max(a.divisor, 1)), "scan": lambda g, a: traversal.bfs_levels(g, a.start, named=0), "sequential": lambda g, a: traversal.bfs_visit_order(g, a.start)},
         "wcc": {"sv": lambda g, a: analytics.wcc(g), "map": lambda g, a: analytics.wcc(g), "scan": lambda g, a: analytics.wcc(g), "sequential": lambda g, a: analytics.wcc_ordinal(g)},
         "pagerank": {
             "map": lambda g, a: analytics.pagerank_map(g, a.iters, a.damping, a.epsilon),
@@ -37,6 +38,9 @@ def parser(defaults: config.Settings) -> argparse.ArgumentParser:
     p.add_argument("--iters", type=int, default=defaults.iterations)
     p.add_argument("--damping", type=float, default=defaults.damping)
     p.add_argument("--epsilon", type=float, default=defaults.epsilon)
+    p.add_argument("--divisor", "-d", type=int, default=20, help="BFS: a frontier of up to a divisor-th of the vertices (1000 at most) is named to the scan of the edges, a larger one is joined")
+    p.add_argument("--mem", action="store_true", help="keep the graph in the executors' memory")
+    p.add_argument("--prefetch-workers", type=int, default=0, help="accepted and without effect: Spark schedules the reads")
     p.add_argument("--benchmark", action="store_true", help="print seconds; BFS runs from several seeded sources")
     p.add_argument("--result", help="write the result to this folder as Parquet")
     return p
@@ -56,6 +60,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     spark = spark or SparkSession.builder.appName("meshwork").getOrCreate()
     graph = load_graph(spark, args.graph).materialised()
+    if args.mem:
+        graph = warm_up(graph)
     if args.benchmark:
         sources = traversal.bfs_benchmark_sources(graph, defaults.random_select, defaults.seed) if args.command == "bfs" else [args.start]
         took = []

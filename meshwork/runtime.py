@@ -21,8 +21,9 @@ BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16_000_000
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
-#: Paths of the open scopes, the innermost last.
+#: Paths of the open scopes, the innermost last, and the catalog's names of bucketed tables by path.
 _scopes: list[list[str]] = []
+_names: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -68,6 +69,8 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _names:
+        spark.sql(f"DROP TABLE IF EXISTS {_names.pop(path)}")
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(jpath, True)
@@ -91,12 +94,10 @@ def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
 def discard(*tables: DataFrame | None) -> None:
     """Delete materialised tables that nothing reads any more; others are left alone."""
     for df in tables:
-        path, name = getattr(df, "_meshwork_path", None), getattr(df, "_meshwork_name", None)
-        if name:
-            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        path = getattr(df, "_meshwork_path", None)
         if path:
             _delete(df.sparkSession, path)
-            df._meshwork_path = df._meshwork_name = None
+            df._meshwork_path = None
 
 
 def bucketed(df: DataFrame, key: str, tag: str = "b", dealt: bool = False) -> DataFrame:
@@ -113,7 +114,7 @@ def bucketed(df: DataFrame, key: str, tag: str = "b", dealt: bool = False) -> Da
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
-    out._meshwork_path, out._meshwork_name = path, name
+    out._meshwork_path, _names[path] = path, name
     return out
 
 
@@ -125,7 +126,7 @@ def scratch_scope(spark: SparkSession, keep: list[DataFrame]):
     try:
         yield keep
     finally:
-        _scopes.remove(made)
+        _scopes.pop()
         kept = {getattr(df, "_meshwork_path", None) for df in keep}
         for path in made:
             if path not in kept:

@@ -90,10 +90,10 @@ def greedy_sparsify(edges, cap):
     return set(kept)
 
 
-@pytest.mark.parametrize("cap", [1, 2, 3, 6])
+@pytest.mark.parametrize("cap", [1, 3])
 def test_sparsify_is_the_greedy_pass(spark, cap):
     rng = random.Random(cap)
-    for n, m in ((25, 60), (40, 45), (12, 66)):
+    for n, m in ((20, 40), (12, 60)):
         edges = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b}
         edges |= {(0, i) for i in range(1, n)}  # a hub
         got = {tuple(r) for r in L.sparsify(from_edges(spark.createDataFrame(sorted(edges), "src long, dst long")), cap).collect()}
@@ -277,7 +277,7 @@ def test_config_and_cli(spark, tmp_path, capsys):
     (tmp_path / "c.yaml").write_text("algo:\n  iterations: 2 * 3  # six\n  damping: 0.5\nunknown: 1\n")
     assert config.load(str(tmp_path / "c.yaml")).iterations == 6 and config.number("1024 * 16") == 16384
     (tmp_path / "g.graph").write_text("t 4 2\ne 0 1\ne 1 2\n")
-    for args in (["bfs", "--start", "0"], ["wcc", "--algo", "sequential"], ["pagerank", "--iters", "2", "--result", str(tmp_path / "out")], ["cdlp"], ["bfs", "--benchmark"]):
+    for args in (["bfs", "--start", "0"], ["wcc", "--algo", "sequential"], ["pagerank", "--iters", "2", "--result", str(tmp_path / "out")], ["cdlp"], ["bfs", "--benchmark"], ["bfs", "--mem", "--divisor", "2", "--prefetch-workers", "4"]):
         assert cli.main([args[0], str(tmp_path / "g.graph"), *args[1:]], spark) == 0
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     assert cli.main(["wcc", str(tmp_path / "g.graph"), "--algo", "none"], spark) == 1
