@@ -1,7 +1,8 @@
 """From raw documents to packed sequences, in five stages.
 
 Each stage takes all that its predecessor kept. ``run`` writes every stage's
-result as Parquet to the shared scratch folder and reads it again.
+result as Parquet to the shared scratch folder and reads it again; what a stage
+wrote besides, and what its successor has read, is deleted then.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from meshwork.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from meshwork.llm.catalog import tokenizer_path
 from meshwork.llm.common import table
-from meshwork.runtime import materialise
+from meshwork.runtime import discard, materialise, scratch_scope
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -46,5 +47,8 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch_scope(spark, []) as keep:
+            keep.append(materialise(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = keep[0]
     return docs
