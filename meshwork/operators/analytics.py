@@ -10,6 +10,32 @@ from meshwork.operators.components import connected_components
 from meshwork.operators.topology import degree
 from meshwork.runtime import bucketed, discard, materialise
 
+#: Vertices up to which a state, some 24 bytes each, is sent to every task; larger ones lie in the buckets of the edges.
+STATE_ROWS = 500_000
+
+
+class Rounds:
+    """Edges and a state by vertex, written so that a round shuffles no edges, whatever the size."""
+
+    def __init__(self, edges: DataFrame, state: DataFrame, vertices: int):
+        self.large = vertices > STATE_ROWS
+        self.edges = bucketed(edges, "src", "edges") if self.large else materialise(edges, "edges")
+        self.state = bucketed(state, "id", "state") if self.large else materialise(state, "state")
+
+    def given(self, column: str) -> DataFrame:
+        """The edges with a column of their source's state."""
+        held = self.state.select(F.col("id").alias("src"), column)
+        return self.edges.join(held if self.large else F.broadcast(held), "src")
+
+    def next(self, state: DataFrame) -> None:
+        """Write the state of the next round, made from this one's, which goes."""
+        last, self.state = self.state, bucketed(state, "id", "state", dealt=True) if self.large else materialise(state, "state")
+        discard(last)
+
+    def end(self) -> DataFrame:
+        discard(self.edges)
+        return self.state
+
 
 def wcc(graph: Graph) -> DataFrame:
     """(id, label): the smallest vertex id of the weakly connected component, for every vertex."""
@@ -30,14 +56,11 @@ def wcc_ordinal(graph: Graph) -> DataFrame:
 
 def wcc_scan(graph: Graph, rounds: int) -> DataFrame:
     """(id, label): the smallest id within ``rounds`` hops, which is the component's once converged."""
-    edges = bucketed(graph.edges.select("src", "dst"), "src", "edges")
-    state = bucketed(graph.vertices.select("id", F.col("id").alias("label")), "id", "labels")
+    r = Rounds(graph.edges.select("src", "dst"), graph.vertices.select("id", F.col("id").alias("label")), graph.vertices.count())
     for _ in range(rounds):
-        offers = edges.join(state, edges["src"] == state["id"]).groupBy("dst").agg(F.min("label").alias("offer"))
-        last, state = state, bucketed(state.join(offers, F.col("id") == F.col("dst"), "left").select("id", F.least("label", "offer").alias("label")), "id", "labels", dealt=True)
-        discard(last)
-    discard(edges)
-    return state
+        offers = r.given("label").groupBy("dst").agg(F.min("label").alias("offer"))
+        r.next(r.state.join(offers, F.col("id") == F.col("dst"), "left").select("id", F.least("label", "offer").alias("label")))
+    return r.end()
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -45,15 +68,15 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 
 def _ranked_edges(graph: Graph) -> DataFrame:
-    """Edges with the degree of their source, in buckets of the source: no round shuffles them."""
+    """Edges with the degree of their source."""
     d = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    return bucketed(graph.edges.join(d, "src").select("src", "dst", "d"), "src", "weighted")
+    return graph.edges.join(d, "src").select("src", "dst", "d")
 
 
-def _round(weighted: DataFrame, state: DataFrame, share) -> DataFrame:
+def _round(r: Rounds, share) -> DataFrame:
     """Sum of what the neighbours give: (id, rank, degree, given). Only the partial sums are shuffled."""
-    given = weighted.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(share).alias("given"))
-    return state.join(given, F.col("id") == F.col("dst"), "left").withColumn("given", F.coalesce("given", F.lit(0.0))).drop("dst")
+    given = r.given("rank").groupBy("dst").agg(F.sum(share).alias("given"))
+    return r.state.join(given, F.col("id") == F.col("dst"), "left").withColumn("given", F.coalesce("given", F.lit(0.0))).drop("dst")
 
 
 def _pagerank(graph: Graph, iterations: int, damping: float, epsilon: float | None, dangling: bool) -> DataFrame:
@@ -61,22 +84,18 @@ def _pagerank(graph: Graph, iterations: int, damping: float, epsilon: float | No
     n = graph.vertices.count()
     if not n:
         return graph.vertices.select("id", F.lit(0.0).alias("rank"))
-    weighted = _ranked_edges(graph)
-    state = bucketed(degree(graph).select("id", "degree", F.lit(1.0 / n).alias("rank")), "id", "ranks")
-    isolated = state.where("degree = 0").count() if dangling else 0
+    r = Rounds(_ranked_edges(graph), degree(graph).select("id", "degree", F.lit(1.0 / n).alias("rank")), n)
+    isolated = r.state.where("degree = 0").count() if dangling else 0
     base, held = (1 - damping) / n, 1.0 / n
     for _ in range(iterations):
         # isolated vertices are given nothing, so all of them hold the same
         lost = isolated * held
         held = base + damping * lost / n
         fresh = F.lit(base + damping * lost / n) + F.lit(damping) * F.col("given")
-        moved = _round(weighted, state, F.col("rank") / F.col("d"))
-        last, state = state, bucketed(moved.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "id", "ranks", dealt=True)
-        discard(last)
-        if epsilon is not None and state.agg(F.sum("moved")).first()[0] < epsilon:
+        r.next(_round(r, F.col("rank") / F.col("d")).select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")))
+        if epsilon is not None and r.state.agg(F.sum("moved")).first()[0] < epsilon:
             break
-    discard(weighted)
-    return state.select("id", "rank")
+    return r.end().select("id", "rank")
 
 
 def pagerank_map(graph: Graph, iterations: int = 20, damping: float = 0.85, epsilon: float | None = 1e-6) -> DataFrame:
@@ -96,18 +115,15 @@ def pagerank_scan(graph: Graph, iterations: int = 20, damping: float = 0.85, eps
     undivided; stopping early by ``epsilon`` returns the divided values.
     Isolated vertices stay at 0 until the last round.
     """
-    weighted = _ranked_edges(graph)
-    state = bucketed(degree(graph).select("id", "degree", F.when(F.col("degree") > 0, 1.0 / F.col("degree")).otherwise(0.0).alias("rank")), "id", "ranks")
+    start = degree(graph).select("id", "degree", F.when(F.col("degree") > 0, 1.0 / F.col("degree")).otherwise(0.0).alias("rank"))
+    r = Rounds(graph.edges.select("src", "dst"), start, graph.vertices.count())
     for i in range(iterations):
         full = F.lit(1 - damping) + F.lit(damping) * F.col("given")
         fresh = full if i == iterations - 1 else F.when(F.col("degree") > 0, full / F.col("degree")).otherwise(F.col("rank"))
-        moved = _round(weighted, state, F.col("rank"))
-        last, state = state, bucketed(moved.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "id", "ranks", dealt=True)
-        discard(last)
-        if epsilon is not None and state.agg(F.sum("moved")).first()[0] < epsilon:
+        r.next(_round(r, F.col("rank")).select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")))
+        if epsilon is not None and (r.state.agg(F.sum("moved")).first()[0] or 0.0) < epsilon:
             break
-    discard(weighted)
-    return state.select("id", "rank")
+    return r.end().select("id", "rank")
 
 
 def most_frequent(votes: DataFrame, key: str, label: str) -> DataFrame:
@@ -122,15 +138,10 @@ def most_frequent(votes: DataFrame, key: str, label: str) -> DataFrame:
 
 def cdlp(graph: Graph, iterations: int = 20, until_stable: bool = False) -> DataFrame:
     """(id, label): synchronous majority label propagation, ties to the smallest label; isolated vertices keep their id."""
-    edges = bucketed(graph.edges.select("src", "dst"), "src", "edges")
-    state = bucketed(graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")), "id", "labels")
+    r = Rounds(graph.edges.select("src", "dst"), graph.vertices.select("id", F.col("id").alias("label")), graph.vertices.count())
     for _ in range(iterations):
-        votes = edges.join(state.select(F.col("id").alias("src"), "label"), "src").select("dst", "label")
-        won = most_frequent(votes, "dst", "label").withColumnRenamed("label", "won")
-        nxt = state.join(won, F.col("id") == F.col("dst"), "left").select("id", F.coalesce("won", "label").alias("label"), (F.coalesce("won", "label") != F.col("label")).alias("moved"))
-        last, state = state, bucketed(nxt, "id", "labels", dealt=True)
-        discard(last)
-        if until_stable and state.where("moved").isEmpty():
+        won = most_frequent(r.given("label").select("dst", "label"), "dst", "label").withColumnRenamed("label", "won")
+        r.next(r.state.join(won, F.col("id") == F.col("dst"), "left").select("id", F.coalesce("won", "label").alias("label"), (F.coalesce("won", "label") != F.col("label")).alias("moved")))
+        if until_stable and r.state.where("moved").isEmpty():
             break
-    discard(edges)
-    return state.select("id", "label")
+    return r.end().select("id", "label")

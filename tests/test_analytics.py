@@ -106,23 +106,22 @@ def test_cdlp(g):
     assert set(pairs(A.wcc_scan(g, 10)).values()) == {0}
 
 
-def test_rounds_leave_nothing_behind(spark, g):
-    """Spent states are deleted, and so are their names."""
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_rounds_of_any_size(spark, g, monkeypatch, rows):
+    """Sent to every task or in buckets: the same results, spent states are deleted, no round shuffles the edges."""
+    monkeypatch.setattr(A, "STATE_ROWS", rows)
     before = len(spark.catalog.listTables())
-    ranks = A.pagerank(g, 4, epsilon=None)
-    assert len(spark.catalog.listTables()) <= before + 1 and ranks.count() == 13
-    assert A.cdlp(g, 3).count() == 13 and len(spark.catalog.listTables()) <= before + 2
-
-
-def test_a_round_shuffles_partial_sums_only(spark, g):
-    weighted = A._ranked_edges(g)
-    state = A.bucketed(A.degree(g).select("id", "degree", F.lit(0.1).alias("rank")), "id")
+    ranks = pairs(A.pagerank(g, 5, epsilon=None))
+    assert math.isclose(ranks[3], 0.140278, abs_tol=1e-6) and math.isclose(pairs(A.pagerank_scan(g, 5))[3], 1.823619, abs_tol=1e-6)
+    assert [v for _, v in sorted(pairs(A.cdlp(g, 5)).items())] == [0, 0, 0, 0, 3, 3, 3, 7, 7, 7, 7, 0, 0] and set(pairs(A.wcc_scan(g, 10)).values()) == {0}
+    assert len(spark.catalog.listTables()) <= before + 4
+    r = A.Rounds(A._ranked_edges(g), A.degree(g).select("id", "degree", F.lit(0.1).alias("rank")), 13)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = A._round(weighted, state, F.col("rank") / F.col("d"))._jdf.queryExecution().executedPlan().toString()
+        plan = A._round(r, F.col("rank") / F.col("d"))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert plan.count("Exchange hashpartitioning") == (1 if rows == 0 else 2), plan  # the partial sums, and a state that is small
 
 
 def test_frontiers(spark, g):

@@ -34,13 +34,14 @@ def test_small_is_counted_in_rows_and_bytes(spark):
     assert R.small_join(big, spark.range(0), "id", "left").count() == 100
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+def test_a_cluster_needs_a_shared_folder():
     class Context:
         master, applicationId = "spark://head:7077", "app"
 
     class Session:
-        conf, sparkContext = spark.conf, Context
+        conf, sparkContext = {}, Context
 
-    assert spark.conf.get("spark.checkpoint.dir", None) is None
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         R.scratch_root(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/x/"}
+    assert R.scratch_root(Session) == "hdfs://shared/x"
