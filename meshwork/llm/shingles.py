@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text whose words are hashed at once.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _byte = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
