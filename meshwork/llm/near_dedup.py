@@ -217,8 +217,9 @@ def _rare_first(docs: DataFrame, members: DataFrame) -> DataFrame:
 def _central_pairs(members: DataFrame, rare: DataFrame) -> DataFrame:
     """Each member of a large open bucket with the bucket's most central text, if their components differ."""
     placed = members.select("key", "id", "comp").join(rare.select("id", "centre"), "id")
-    hubs = placed.groupBy("key").agg(F.max(F.struct("centre", "id", "comp")).alias("hub"))
-    pairs = placed.join(hubs, "key").where(F.col("comp") != F.col("hub.comp")).select("id", F.col("hub.id").alias("hub"))
+    hubs = materialise(placed.groupBy("key").agg(F.max(F.struct("centre", "id", "comp")).alias("hub")), "hubs")
+    # one row a bucket: told to every task, or joined by files, so that a large bucket's members are not dealt to one task
+    pairs = small_join(placed, hubs, "key").where(F.col("comp") != F.col("hub.comp")).select("id", F.col("hub.id").alias("hub"))
     return pairs.select(F.greatest("id", "hub").alias("src"), F.least("id", "hub").alias("dst")).distinct()
 
 
