@@ -137,6 +137,17 @@ def test_window_order_against_brute_force(monkeypatch, hub):
         assert L._window_order(list(range(n)), both, 4) == brute_window(list(range(n)), both, 4)
 
 
+def test_window_order_of_a_star_is_not_quadratic(monkeypatch):
+    pushes = []
+    push = L.heapq.heappush
+    monkeypatch.setattr(L.heapq, "heappop", lambda q, pop=L.heapq.heappop: pushes.append(0) or pop(q))
+    monkeypatch.setattr(L.heapq, "heappush", lambda q, x: pushes.append(1) or push(q, x))
+    n = 2000
+    both = [e for i in range(n) for e in ((i, n), (n, i))]
+    assert L._window_order(list(range(n + 1)), both, 20) == [n, *range(n)]
+    assert len(pushes) < 20 * n
+
+
 def test_large_blocks_are_cut(g, monkeypatch):
     monkeypatch.setattr(L, "BLOCK_VERTICES", 6)
     blocks = g.vertices.select("id", F.when(F.col("id") < 13, 0).otherwise(1).cast("long").alias("block"))
