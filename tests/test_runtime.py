@@ -45,3 +45,24 @@ def test_a_cluster_needs_a_shared_folder():
         R.scratch_root(Session)
     Session.conf = {"spark.checkpoint.dir": "hdfs://shared/x/"}
     assert R.scratch_root(Session) == "hdfs://shared/x"
+
+
+def test_sized_stages_grow_in_number(spark):
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    with pytest.raises(KeyError), R.sized(spark, 40 * R.TASK_ROWS + 1):
+        assert [spark.conf.get(k) for k in keys] == ["41", str(R.TASK_BYTES), str(R.TASK_BYTES)]
+        raise KeyError
+    assert [spark.conf.get(k) for k in keys] == before
+    with R.sized(spark, 1):
+        assert spark.conf.get(keys[0]) == before[0]
+
+
+def test_a_graph_is_loaded_in_sized_stages(spark, sf_dir, monkeypatch):
+    from meshwork import catalog
+
+    rows, real = [], R.sized
+    monkeypatch.setattr(catalog, "_graphs", {})
+    monkeypatch.setattr(catalog, "sized", lambda s, n: rows.append(n) or real(s, n))
+    catalog.graph(spark, sf_dir, "order_part")
+    assert rows == [2 * spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()]
