@@ -2,7 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from meshwork.operators import analytics as A
 from meshwork.operators import distribution as D
 from meshwork.operators import frontier as Fr
 from meshwork.operators import traversal as B
+from meshwork import runtime as R
+from meshwork.operators import components as C
 from meshwork.operators.components import connected_components
 from tests.test_topology import EDGES
 
@@ -142,3 +147,39 @@ def test_distributions(spark, g):
     assert math.isclose(D.kl_divergence(p, q), want) and D.kl_divergence(p, p) == 0
     assert D.kl_divergence(p, p.limit(0)) == math.inf
     assert pairs(D.resample(p, 10, 20)) == {0: 100.0} and pairs(D.resample(p, 10, 5)) == {0: 25.0, 5: 25.0, 10: 25.0, 15: 25.0}
+
+
+def test_rounds_have_buckets_for_their_edges(spark, g, monkeypatch):
+    """A bucket is bounded whatever the session's partitions are, and its edges are not sorted."""
+    monkeypatch.setattr(A, "STATE_ROWS", 0)
+    monkeypatch.setattr(R, "TASK_ROWS", 4)
+    r = A.Rounds(g.edges, g.vertices.select("id", F.col("id").alias("label")), 13)
+    assert r.given("label").rdd.getNumPartitions() == 10 and r.edges.count() == 40
+    r.next(r.told(r.given("label").groupBy("dst").agg(F.min("label").alias("offer"))).select("id", F.least("label", "offer").alias("label")))
+    assert r.given("label").rdd.getNumPartitions() == 10 and pairs(r.state)[12] == 11
+    plan = r.given("label")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan and "Exchange" not in plan, plan
+
+
+def test_components_are_worked_out_in_sized_stages(spark, g, monkeypatch):
+    seen, real = [], R.sized
+    for module in (A, C):
+        monkeypatch.setattr(module, "sized", lambda s, n: seen.append(n) or real(s, n))
+    labels = A.wcc(g)
+    assert seen[0] == 2 * 12 and seen[-1] == 2 * 13 and labels._meshwork_path and set(pairs(labels).values()) == {0}
+
+
+def test_a_forest_takes_little_memory():
+    """Some 150 bytes an edge in arrays, where a dictionary and lists of Python numbers took twice that."""
+    n = 200_000
+    rng = np.random.default_rng(1)
+    batches = [pa.RecordBatch.from_arrays([pa.array(rng.integers(0, n, n // 4)), pa.array(rng.integers(n, 2 * n, n // 4))], names=["src", "dst"]) for _ in range(4)]
+    tracemalloc.start()
+    try:
+        found = list(C._forest(batches))
+        assert tracemalloc.get_traced_memory()[1] < 170 * n
+    finally:
+        tracemalloc.stop()
+    up = {v: r for b in found for v, r in zip(*(c.to_pylist() for c in b.columns))}
+    assert all(up.get(a, a) == up.get(b, b) for x in batches for a, b in zip(*(c.to_pylist() for c in x.columns)))
+    assert all(r not in up and r < v for v, r in up.items())
