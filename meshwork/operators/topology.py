@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.graph import GIANT_DEGREE, Graph
+from meshwork.runtime import materialise, sized
 
 
 def id_rows(graph: Graph, ids) -> DataFrame:
@@ -45,14 +46,17 @@ def has_edge(graph: Graph, src: int, dst: int) -> bool:
     return not graph.edges.where((F.col("src") == src) & (F.col("dst") == dst)).isEmpty()
 
 
-def adjacency(graph: Graph) -> DataFrame:
-    """(id, neighbors) of every vertex, sorted, with empty lists.
+def adjacency(graph: Graph, rows: int | None = None) -> DataFrame:
+    """(id, neighbors) of every vertex, sorted, with empty lists; written.
 
     For writing out and for small graphs: a vertex's whole list is one value.
-    The algorithms use the edge rows instead.
+    The algorithms use the edge rows instead. ``rows`` bounds the edges where
+    counting them is work.
     """
     lists = graph.edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("l"))
-    return graph.vertices.select("id").join(lists, F.col("id") == F.col("src"), "left").select("id", F.coalesce("l", F.array().cast("array<long>")).alias("neighbors"))
+    every = graph.vertices.select("id").join(lists, F.col("id") == F.col("src"), "left").select("id", F.coalesce("l", F.array().cast("array<long>")).alias("neighbors"))
+    with sized(graph.spark, rows or graph.edges.count()):
+        return materialise(every, "lists")
 
 
 def giant_vertices(graph: Graph, bound: int = GIANT_DEGREE) -> DataFrame:
@@ -103,7 +107,7 @@ def induced_subgraph(graph: Graph, ids, check: bool = True) -> Graph:
 def induced_map(graph: Graph, ids, pruning: bool = False) -> DataFrame:
     """(id, neighbors) of a set of vertices; without pruning neighbours outside the set stay."""
     s = id_rows(graph, ids)
-    return adjacency(Graph(graph.vertices.join(s, "id", "left_semi"), induced_edges(graph.edges, s, pruning)))
+    return adjacency(Graph(graph.vertices.join(s, "id", "left_semi"), induced_edges(graph.edges, s, pruning)), graph.edges.count())
 
 
 def community_subgraph(graph: Graph, community: int) -> Graph:
