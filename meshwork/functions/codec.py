@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 MAX_VALUE = (1 << 30) - 1
 #: Gaps of a block, and the share of them that its width has to hold.
 BLOCK, FITTING = 128, 0.9
+#: Gaps whose frames are worked out at once, about.
+FRAME_GAPS = 65_536
 
 
 def encode_ids(ids: Column) -> Column:
@@ -134,53 +136,114 @@ def _bit_length(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _frame(gaps: np.ndarray) -> bytes:
-    """width, exceptions, gaps at that width; then the places of the exceptions and their high bits."""
-    bits = np.sort(_bit_length(gaps))
-    width = int(bits[int(np.ceil(len(bits) * FITTING)) - 1])
-    low = gaps & ((1 << width) - 1)
-    packed = np.packbits(((low[:, None] >> np.arange(width)) & 1).astype(np.uint8).ravel()).tobytes()
-    odd = np.flatnonzero(gaps >> width)
-    return bytes([width, len(odd)]) + packed + odd.astype(np.uint8).tobytes() + _varints(gaps[odd] >> width)[0].tobytes()
+def _spread(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places at[i], at[i] + 1, ..., counts[i] of them for each i."""
+    return np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _frames(gaps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of blocks that follow each other, and the number of each block.
+
+    A block: width, exceptions, gaps at that width; then the places of the
+    exceptions and their high bits.
+    """
+    bits, first, block = _bit_length(gaps), _starts(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    width = bits[np.lexsort((bits, block))][first + np.ceil(sizes * FITTING).astype(np.int64) - 1]
+    each = width[block]
+    low = gaps & ((1 << each) - 1)
+    body = -(-sizes * width // 8)
+    cells = np.zeros(8 * int(body.sum()), np.uint8)
+    cells[_spread(8 * _starts(body), sizes * width)] = (np.repeat(low, each) >> _spread(np.zeros_like(each), each)) & 1
+    odd = np.flatnonzero(gaps >> each)
+    n_odd = np.bincount(block[odd], minlength=len(sizes))
+    high, high_sizes = _varints(gaps[odd] >> each[odd])
+    n_high = np.bincount(block[odd], high_sizes, len(sizes)).astype(np.int64)
+    total = 2 + body + n_odd + n_high
+    out, at = np.zeros(int(total.sum()), np.uint8), _starts(total)
+    out[at], out[at + 1] = width, n_odd
+    out[_spread(at + 2, body)] = np.packbits(cells)
+    out[_spread(at + 2 + body, n_odd)] = odd - first[block[odd]]
+    out[_spread(at + 2 + body + n_odd, n_high)] = high
+    return out, total
 
 
 def encode_frame_lists(ids: pa.Array) -> pa.Array:
     gaps, bounds = _lists(ids)
-    out = []
-    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
-        out.append(_varints(np.array([b - a]))[0].tobytes() + b"".join(_frame(gaps[i : min(i + BLOCK, b)]) for i in range(a, b, BLOCK)))
-    return pa.array(out, pa.binary())
+    lengths = np.diff(bounds)
+    blocks = -(-lengths // BLOCK)
+    nth = _spread(np.zeros_like(blocks), blocks)
+    sizes = np.minimum(np.repeat(lengths, blocks) - BLOCK * nth, BLOCK)
+    # so many gaps at once that their single bits stay small
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(gaps), FRAME_GAPS)), len(sizes)))
+    parts = [_frames(gaps[ends[i] - sizes[i] : ends[j - 1]], sizes[i:j]) for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
+    raw = np.concatenate([np.zeros(0, np.uint8), *(x for x, _ in parts)])
+    per_block = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])))
+    body = np.diff(per_block[np.append(0, np.cumsum(blocks))])
+    head, n_head = _varints(lengths)
+    total = n_head + body
+    out, at = np.zeros(int(total.sum()), np.uint8), _starts(total)
+    out[_spread(at, n_head)], out[_spread(at + n_head, body)] = head, raw
+    bounds = np.append(0, np.cumsum(total)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds), pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+
+def _varint_at(raw: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number that begins at each place, and the place after it."""
+    value, at, going = np.zeros(len(at), np.int64), at.copy(), np.arange(len(at))
+    for shift in range(0, 70, 7):
+        if (at[going] >= ends[going]).any():
+            raise ValueError("the data ends within a number")
+        byte = raw[at[going]].astype(np.int64)
+        value[going] |= (byte & 0x7F) << shift
+        at[going] += 1
+        going = going[byte >= 128]
+    return value, at
 
 
 def decode_frame_lists(data: pa.Array) -> pa.Array:
+    """The first blocks of all lists at once, then the second ones, and so on."""
     raw, bounds = _bytes(data)
-    gaps, counts = [np.zeros(0, np.int64)], []
-    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
-        n, at = 0, a
-        while at < b:
-            n |= int(raw[at] & 0x7F) << (7 * (at - a))
-            at += 1
-            if raw[at - 1] < 128:
-                break
-        counts.append(n)
-        while n > 0:
-            size, width, odd = min(n, BLOCK), int(raw[at]), int(raw[at + 1])
-            at += 2
-            body = -(-size * width // 8)
-            cell = np.unpackbits(raw[at : at + body], count=size * width).reshape(size, width).astype(np.int64)
-            values = (cell << np.arange(width)).sum(axis=1) if width else np.zeros(size, np.int64)
-            at += body
-            where = raw[at : at + odd].astype(np.int64)
-            at += odd
-            if odd:
-                stop = at + int(np.flatnonzero(raw[at : at + 10 * odd] < 128)[odd - 1]) + 1
-                values[where] |= _read_varints(raw[at:stop])[0] << width
-                at = stop
-            gaps.append(values)
-            n -= size
-        if at != b:
+    at, ends, counts = bounds[:-1].copy(), bounds[1:], np.zeros(len(bounds) - 1, np.int64)
+    some = np.flatnonzero(at < ends)
+    counts[some], at[some] = _varint_at(raw, at[some], ends[some])
+    if (counts > BLOCK * (ends - at)).any():
+        raise ValueError("the data does not end with its last block")
+    begin = np.append(0, np.cumsum(counts)).astype(np.int64)
+    gaps, going, nth = np.zeros(begin[-1], np.int64), np.flatnonzero(counts), 0
+    while len(going):
+        a, e = at[going], ends[going]
+        size = np.minimum(counts[going] - BLOCK * nth, BLOCK)
+        if (a + 2 > e).any():
+            raise ValueError("the data does not end with its last block")
+        width, odd = raw[a].astype(np.int64), raw[a + 1].astype(np.int64)
+        body = -(-size * width // 8)
+        a += 2
+        if (a + body + odd > e).any():
             raise ValueError("the data does not end with its last block")
-    return _sums(np.concatenate(gaps), np.append(0, np.cumsum(counts)).astype(np.int64))
+        each, bit = np.repeat(width, size), np.repeat(8 * a, size) + _spread(np.zeros_like(size), size) * np.repeat(width, size)
+        values = np.zeros(len(each), np.int64)
+        for j in range(int(width.max())):
+            wide = np.flatnonzero(each > j)
+            place = bit[wide] + j
+            values[wide] |= ((raw[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(np.int64) << j
+        a += body
+        where, a = a, a + odd
+        for k in range(int(odd.max())):
+            has = np.flatnonzero(odd > k)
+            high, a[has] = _varint_at(raw, a[has], e[has])
+            values[_starts(size)[has] + raw[where[has] + k]] |= high << width[has]
+        gaps[_spread(begin[going] + BLOCK * nth, size)] = values
+        at[going] = a
+        nth += 1
+        going = going[counts[going] > BLOCK * nth]
+    if (at != ends).any():
+        raise ValueError("the data does not end with its last block")
+    return _sums(gaps, begin)
 
 
 def _over_batches(f, kind: str):

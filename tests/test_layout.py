@@ -18,6 +18,7 @@ from meshwork.graph import from_edges
 from meshwork.operators import layout as L
 from meshwork.operators import ordering
 from meshwork.operators import sampling as S
+from meshwork.operators import topology as T
 from meshwork.operators.components import connected_components
 from meshwork.operators.frontier import prefix_scan
 from meshwork.operators.ordering import rank_rows
@@ -297,3 +298,23 @@ def test_config_and_cli(spark, tmp_path, capsys):
 
 def test_degree_counts_isolated(g):
     assert degree(g).where("id = 30").first()["degree"] == 0
+
+
+def test_frames_of_short_lists_are_made_together(monkeypatch):
+    """A call for many lists, not one for each; cuts between blocks change nothing."""
+    ids = pa.array([[i] for i in range(5000)] + [list(range(0, 3000, 7)), None, [5, 2**40]], pa.list_(pa.int64()))
+    want, calls, real = codec.encode_frame_lists(ids), [], codec._frames
+    monkeypatch.setattr(codec, "FRAME_GAPS", 1000)
+    monkeypatch.setattr(codec, "_frames", lambda gaps, sizes: calls.append(len(sizes)) or real(gaps, sizes))
+    assert codec.encode_frame_lists(ids).equals(want) and len(calls) == 6
+    assert codec.decode_frame_lists(want).to_pylist() == [x or [] for x in ids.to_pylist()]
+    for bad in (b"\x05", b"\x01\x08\x00", want[0].as_py() + b"\x00", b"\x80"):
+        with pytest.raises(ValueError):
+            codec.decode_frame_lists(pa.array([bad]))
+
+
+def test_adjacency_is_written_in_sized_stages(g, monkeypatch):
+    seen, real = [], T.sized
+    monkeypatch.setattr(T, "sized", lambda s, n: seen.append(n) or real(s, n))
+    lists = {r[0]: r[1] for r in T.induced_map(g, [3, 12]).collect()}
+    assert lists[12] == [11] and len(lists[3]) == 6 and seen == [g.edges.count()]
