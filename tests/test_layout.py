@@ -107,6 +107,13 @@ def test_sparsify_keeps_a_connected_graph_connected(spark):
         assert connected_components(kept).select("label").distinct().count() == 1
 
 
+def test_sparsify_writes_no_copy_of_the_edges_that_are_left(spark, monkeypatch):
+    tags, real = [], L.materialise
+    monkeypatch.setattr(L, "materialise", lambda df, tag="t": tags.append(tag) or real(df, tag))
+    kept = L.sparsify(from_edges(spark.createDataFrame([(0, 1), (1, 2), (0, 2)], "src long, dst long")), 2)
+    assert kept.count() == 6 and "left" not in tags and tags.index("chosen") < tags.index("ready")
+
+
 def test_sparsify_nothing(g, spark):
     assert L.sparsify(g, 0).count() == 0
     assert L.sparsify(from_edges(spark.createDataFrame([], "src long, dst long")), 3).count() == 0
