@@ -87,6 +87,21 @@ def test_components_of_a_long_path_and_random_graphs(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 40, 1000])
+def test_components_end_in_one_task_once_few_edges_are_left(spark, monkeypatch, bound):
+    rng = random.Random(5)
+    edges = [(x, rng.randrange(max(0, x - 3), x)) for x in range(1, 300) if x % 50]
+    want = {}
+    for x in range(300):
+        want[x] = min([want[b] for a, b in edges if a == x], default=x)
+    want = {x: r for x, r in want.items() if any(x in e for e in edges)}
+    monkeypatch.setattr(C, "FOREST_EDGES", bound)
+    taken, star = [], C._star
+    monkeypatch.setattr(C, "_star", lambda e, large: taken.append(large) or star(e, large))
+    assert pairs(connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(8))) == want
+    assert bool(taken) == (bound < 1000)
+
+
 def test_pagerank(g):
     want = [0.07231, 0.07231, 0.07231, 0.140278, 0.099621, 0.057085, 0.057085, 0.111937, 0.06977, 0.06977, 0.06977, 0.068191, 0.039565]
     for f in (A.pagerank_map, A.pagerank):
